@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus, logs, training
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet").groupBy("source").count()
+flagship = corpus.flagship
+QUERIES = {**corpus.QUERIES, **logs.QUERIES, **training.QUERIES}
+SQL = {**corpus.SQL, **logs.SQL, **training.SQL}
