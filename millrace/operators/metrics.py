@@ -72,7 +72,7 @@ def pages(found: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
 def pages_after_last(found: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
     """The stricter variant: only the last spike counts, and it must be nearer than ``window``."""
     before = F.lag("step").over(Window.partitionBy("run_id").orderBy("seq"))
-    return found.withColumn("page", F.coalesce(F.greatest(F.col("step") - before, F.lit(0)) < window, F.lit(False)))
+    return found.withColumn("page", F.when(before.isNull(), F.lit(False)).otherwise(F.greatest(F.col("step") - before, F.lit(0)) < window))
 
 
 def spike_actions(paged: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def greedy(logits: Column) -> Column:
 def routing_table(traces: DataFrame, n_tokens: int, n_layers: int) -> DataFrame:
     """Cells ``(token, layer, fault)`` of a dense table that are missing, twice there or out of range; none if it is whole."""
     spark = traces.sparkSession
-    cells = spark.range(n_tokens).select(F.col("id").alias("token"), F.explode(F.sequence(F.lit(0), F.lit(n_layers - 1))).cast("long").alias("layer"))
+    cells = spark.range(n_tokens).select(F.col("id").alias("token"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_layers - 1).cast("long"))).alias("layer"))
     have = traces.groupBy(F.col("token").cast("long").alias("token"), F.col("layer").cast("long").alias("layer")).agg(F.count("*").alias("n"))
     both = cells.withColumn("wanted", F.lit(True)).join(have, ["token", "layer"], "full")
     fault = F.when(F.col("wanted").isNull(), "out_of_range").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "twice")

@@ -181,23 +181,23 @@ def run_states(spark, d):
     return metrics.run_states(table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
 
 
-_STEPS = "x AS (SELECT CAST(floor(event_id / 3) AS BIGINT) AS key, CASE event_id % 3 WHEN 0 THEN 'begin' WHEN 1 THEN 'end' ELSE 'note' END AS kind, epoch_ms(ts) AS t FROM events WHERE event_id % 11 <> 4)"
+_STEPS = "x AS (SELECT CAST(floor(event_id / 3) AS BIGINT) AS key, CASE event_id % 3 WHEN 0 THEN 'begin' WHEN 1 THEN 'end' ELSE 'note' END AS kind, epoch_us(ts) AS t FROM events WHERE event_id % 11 <> 4)"
 
 
 def _begin_end(spark, d):
     kind = F.when(F.col("event_id") % 3 == 0, "begin").when(F.col("event_id") % 3 == 1, "end").otherwise("note")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").where("event_id % 11 <> 4").select(F.floor(F.col("event_id") / 3).alias("key"), kind.alias("kind"), ms.alias("at"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").where("event_id % 11 <> 4").select(F.floor(F.col("event_id") / 3).alias("key"), kind.alias("kind"), us.alias("at"))
 
 
-@register(f"WITH {_STEPS}, y AS (SELECT key, min(t) FILTER (kind = 'begin') AS b, max(t) FILTER (kind = 'end') AS e FROM x GROUP BY key) SELECT key, e - b AS duration FROM y WHERE e - b > 400000")
+@register(f"WITH {_STEPS}, y AS (SELECT key, min(t) FILTER (kind = 'begin') AS b, max(t) FILTER (kind = 'end') AS e FROM x GROUP BY key) SELECT key, e - b AS duration FROM y WHERE e - b > 400000000")
 def slow_steps(spark, d):
-    return metrics.slow_steps(_begin_end(spark, d), 400000)
+    return metrics.slow_steps(_begin_end(spark, d), 400000000)
 
 
-@register(f"WITH {_STEPS}, y AS (SELECT key, min(t) FILTER (kind = 'begin') AS b, max(t) FILTER (kind = 'end') AS e FROM x GROUP BY key) SELECT key FROM y WHERE e IS NULL AND 1706000000000 - b > 60000")
+@register(f"WITH {_STEPS}, y AS (SELECT key, min(t) FILTER (kind = 'begin') AS b, max(t) FILTER (kind = 'end') AS e FROM x GROUP BY key) SELECT key FROM y WHERE e IS NULL AND 1706000000000000 - b > 60000000")
 def stalled_steps(spark, d):
-    return metrics.stalled(_begin_end(spark, d), 1706000000000, 60000)
+    return metrics.stalled(_begin_end(spark, d), 1706000000000000, 60000000)
 
 
 @register("""WITH x AS (SELECT user_id AS monitor, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN 'hash' WHEN event_type = 'error' THEN 'violation' END AS reason FROM events)

@@ -55,10 +55,10 @@ def rubric_scores(spark, d):
     return _rubric(spark, d).withColumn("score", F.round("score", 6))
 
 
-@register(f"WITH {_PANEL} SELECT output_id, round(c, 6) AS combined, round(c, 9) > 0.5 AS passed FROM p")
+@register(f"WITH {_PANEL} SELECT output_id, round(c + 1e-9, 6) AS combined, round(c, 9) > 0.5 AS passed FROM p")
 def rubric_combine(spark, d):
     out = rewards.panel(_rubric(spark, d))
-    return out.select("output_id", F.round("combined", 6).alias("combined"), (F.round("combined", 9) > 0.5).alias("passed"))
+    return out.select("output_id", F.round(F.col("combined") + 1e-9, 6).alias("combined"), (F.round("combined", 9) > 0.5).alias("passed"))
 
 
 _RUNS = """runs AS (SELECT CAST(p_size AS BIGINT) AS rung, CAST(sum(p_retailprice) AS BIGINT) AS params, count(*) AS tokens, 5.0 * pow(6.0 * CAST(sum(p_retailprice) AS BIGINT) * count(*), -0.07) * (1 + (p_size % 3) / 100.0) AS loss FROM part WHERE p_size > 0 GROUP BY p_size)"""
@@ -111,9 +111,9 @@ def sequence_ratio(spark, d):
 
 
 @register("""WITH x AS (SELECT l_orderkey AS prompt_id, round(l_quantity / 10) AS r, l_suppkey % 5 + 4 AS v, l_partkey AS n, l_discount AS a, l_tax AS b FROM lineitem),
-y AS (SELECT *, r - avg(r) OVER (PARTITION BY prompt_id) AS adv, CASE WHEN v = 8 THEN 1.0 ELSE least(exp(2 * (a - b)), 1.0) END AS tis FROM x),
-g AS (SELECT prompt_id, sum(greatest(0.8, least(1.28, exp((a - b) + (b - a)))) * adv * tis) AS p, sum(greatest(0.8, least(1.28, exp(b - a))) * adv * tis) AS l, sum(greatest(n - 1000, 0) * 0.001) AS o, avg(tis) AS t, count(*) AS n, min(r) = max(r) AS flat FROM y GROUP BY 1)
-SELECT prompt_id, CASE WHEN flat THEN 0.0 ELSE round(p, 5) + 0.0 END AS policy_loss, CASE WHEN flat THEN 0.0 ELSE round(l, 5) + 0.0 END AS latent_loss, CASE WHEN flat THEN 0.0 ELSE round(o, 5) END AS overlong_loss, CASE WHEN flat THEN 0.0 ELSE round(t, 5) END AS mean_tis, n FROM g""")
+y AS (SELECT *, r - avg(r) OVER (PARTITION BY prompt_id) AS adv, CASE WHEN v = 8 THEN 1::DOUBLE ELSE least(exp(2 * (a - b)), 1::DOUBLE) END AS tis FROM x),
+g AS (SELECT prompt_id, sum(greatest(0.8::DOUBLE, least(1.28::DOUBLE, exp((a - b) + (b - a)))) * adv * tis) AS p, sum(greatest(0.8::DOUBLE, least(1.28::DOUBLE, exp(b - a))) * adv * tis) AS l, sum(greatest(n - 1000, 0) * 0.001::DOUBLE) AS o, avg(tis) AS t, count(*) AS n, min(r) = max(r) AS flat FROM y GROUP BY 1)
+SELECT prompt_id, CASE WHEN flat THEN 0::DOUBLE ELSE round(p, 5) + 0::DOUBLE END AS policy_loss, CASE WHEN flat THEN 0::DOUBLE ELSE round(l, 5) + 0::DOUBLE END AS latent_loss, CASE WHEN flat THEN 0::DOUBLE ELSE round(o, 5) END AS overlong_loss, CASE WHEN flat THEN 0::DOUBLE ELSE round(t, 5) END AS mean_tis, n FROM g""")
 def group_loss(spark, d):
     config = rewards.LossConfig(overlong_cache=1000, overlong_penalty=0.001)
     out = rewards.group_loss(_lists(spark, d), config, 8)
@@ -229,7 +229,7 @@ def pass_at_1(spark, d):
     return control.pass_rate(table(spark, d, "orders").select(F.col("o_orderstatus").alias("gold"), F.substring("o_orderpriority", 3, 1).alias("answer"))).select(F.round("pass_at_1", 9).alias("pass_at_1"))
 
 
-@register("SELECT DISTINCT event_type AS suite, count(*) > 0 AND min(epoch_ms(ts)) > 1704067200000 AND 1714067200000 - 1704000000000 >= 90 * 86400000 AS ok FROM events GROUP BY event_type")
+@register("SELECT DISTINCT event_type AS suite, count(*) > 0 AND min(epoch_ms(ts)) > 1704067200000 AND 1714067200000 - 1704000000000 >= 90 * 86400000::BIGINT AS ok FROM events GROUP BY event_type")
 def suite_rotation(spark, d):
     rows = table(spark, d, "events").groupBy(F.col("event_type").alias("suite")).agg(F.count("*").alias("n_pending"), F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("oldest_pending"))
     return control.may_rotate(rows.withColumn("installed_at", F.lit(1704000000000)), 1704067200000, 1714067200000)
@@ -364,7 +364,7 @@ def task_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", verify.task_score(kinds, gold, F.when(good, right).otherwise(wrong)).alias("ok"), k.alias("k")).drop("k")
 
 
-@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS score FROM documents")
+@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM documents")
 def verifier_dispatch(spark, d):
     name = F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("thirds")
     return table(spark, d, "documents").select("doc_id", verify.dispatch(name, {"exact": F.lit(True), "thirds": F.col("doc_id") % 3 == 0}).alias("score"))
