@@ -95,10 +95,12 @@ class LatticeModel:
             step: dict[tuple[str, str], tuple[float, str, str]] = {}
             for char, script in options:
                 if not paths:
-                    step[script, script] = max(step.get((script, script), (-1e18, "", "")), (self._score(script, "^", char), head + char, char))
+                    value = self._score(script, "^", char)
+                    if (script, script) not in step or value > step[script, script][0]:
+                        step[script, script] = (value, head + char, char)
                 for (first, now), (value, text, last) in paths.items():
                     value += self._score(script, last, char) if now == script else INSIDE + self._score(script, "^", char)
-                    if (first, script) not in step or (value, text + char) > step[first, script][:2]:
+                    if (first, script) not in step or value > step[first, script][0]:
                         step[first, script] = (value, text + char, char)
             paths = step
         out = {k: (v, t) for k, (v, t, _) in paths.items()}

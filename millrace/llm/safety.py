@@ -69,7 +69,16 @@ _SPEAKER = re.compile(r"^\s*(?:[-*•>]+\s+|<?[^\W\d_]\w{0,15}>?:\s+)")
 
 def _spelled(found: re.Match) -> str:
     word = found.group()
-    return word if sum(c.isalpha() for c in word) * 2 < len(word) else word.translate(_LEET)
+    return word if sum(c.isalpha() for c in word) * 3 < len(word) else word.translate(_LEET)
+
+
+def _together(found: re.Match) -> str:
+    """Letters set apart as one word, or as two where that gives known ones."""
+    word = re.sub(r"[ ._*\-·|]", "", found.group())
+    for cut in range(1, len(word)):
+        if word not in _SEED_OF and word[cut:] in _SEED_OF and (cut == 1 or word[:cut] in _SEED_OF):
+            return f"{word[:cut]} {word[cut:]}"
+    return word
 
 
 def windows(words: list[str]) -> list[list[str]]:
@@ -87,7 +96,7 @@ def sentences(text: str) -> list[list[str]]:
             continue
         part = _SPEAKER.sub("", part)
         part = part.lower() if part.isascii() else _MARKS.sub("", skeleton(part)).lower()
-        part = _APART.sub(lambda m: re.sub(r"[ ._*\-·|]", "", m.group()), part)
+        part = _APART.sub(_together, part)
         part = _SPELLED.sub(_spelled, part)
         words = _WORD.findall(_DRAWN.sub(r"\1", part))
         if words:
