@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(large.unionByName(links.join(least, "a").where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "large")
+        large = large.unionByName(links.join(least, "a").where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         links = stage(small.where("a <> b").distinct(), "links")
