@@ -15,8 +15,8 @@ fitted with every sentence of a document under its label, then again with only t
 sentences that can have earned it. The categories have no labels; a sentence of a document
 rated unsafe counts for a category if it holds one of its seed words.
 
-The models are fitted on a bounded sample, ``SAMPLE_UNSAFE`` and ``SAMPLE_SAFE`` labelled
-texts in the order of their hashes; every row of the table is scored. Null and blank texts
+The models are fitted on a bounded sample, ``SAMPLE`` labelled texts in the order of their
+hashes and thus at the rate of the labels; every row of the table is scored. Null and blank texts
 score 0. Without labels of both kinds only the seed words decide.
 """
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .glyphs import skeleton
 
-#: Most labelled texts of each kind that models are fitted on.
-SAMPLE_UNSAFE, SAMPLE_SAFE = 2000, 4000
+#: Most labelled texts that models are fitted on.
+SAMPLE = 6000
 #: Longest stretch of words that is scored at once.
 LONG = 14
 FOLDS, ROUNDS, RATE, RIDGE, HEAVY = 3, 50, 0.25, 1e-5, 3.0
@@ -291,8 +291,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Chain:
     """Fits on the bounded sample; the sample is the same whatever the partitioning."""
     rated = labelled_texts(docs, labels, text_col)
-    part = rated.where("unsafe").orderBy("h").limit(SAMPLE_UNSAFE).unionAll(rated.where("not unsafe").orderBy("h").limit(SAMPLE_SAFE))
-    sample = sorted((r.h, r.text, r.unsafe) for r in part.collect())
+    sample = sorted((r.h, r.text, r.unsafe) for r in rated.orderBy("h").limit(SAMPLE).collect())
     return fit_chain([t for _, t, _ in sample], [u for _, _, u in sample])
 
 
