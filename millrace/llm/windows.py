@@ -13,8 +13,8 @@ more and so does the window's capacity, which counts exactly one separator less
 
 A text longer than the capacity, and no other, is cut: pieces of the full capacity fill
 windows of their own and the rest is packed like a text. Null and empty texts have no tokens;
-they get one row with a null window. ``drop_short_below`` drops nothing here; it is a rule of
-the reference's own packing, and results stay whole. A packing row without a positive
+they get one row with a null window. ``drop_short_below`` drops nothing here; it belongs
+to the core's packing, and results stay whole. A packing row without a positive
 sequence length raises.
 """
 
