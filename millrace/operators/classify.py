@@ -31,8 +31,11 @@ def shards(docs: DataFrame, order: str, size: int = SHARD) -> DataFrame:
     return ranked(docs, order).withColumn("shard", F.floor(F.col("rank") / size).cast("long")).drop("rank")
 
 
-def ranked(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``rank`` from 0 in the given order; ties are in no fixed order."""
+def ranked(df: DataFrame, order: str, keep_part: bool = False) -> DataFrame:
+    """``df`` with ``rank`` from 0 in the given order; ties are in no fixed order.
+
+    ``keep_part`` keeps ``mr_part``, the range that a row is in: ranks of a range follow each other.
+    """
     from ..session import stage
 
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -43,10 +46,11 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
         offsets[part] = total
         total += n
     if not offsets:
-        return cut.drop("mr_part").withColumn("rank", F.lit(0).cast("long"))
+        return (cut if keep_part else cut.drop("mr_part")).withColumn("rank", F.lit(0).cast("long"))
     start = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))[F.col("mr_part")]
     inside = F.row_number().over(Window.partitionBy("mr_part").orderBy(order)) - 1
-    return cut.withColumn("rank", start.cast("long") + inside).drop("mr_part")
+    out = cut.withColumn("rank", start.cast("long") + inside)
+    return out if keep_part else out.drop("mr_part")
 
 
 def score_with(docs: DataFrame, scorer: Scorer, batch: int = SHARD) -> DataFrame:

@@ -66,7 +66,7 @@ def concatenated(docs: DataFrame, packing: Packing, eos: int, strict: bool = Fal
     from pyspark.sql import Window
 
     length, between = packing.sequence_length, int(packing.eos_between_docs)
-    rows = ranked(docs.where("tokens is not null").select("id", "tokens"), "id").withColumn("part", F.spark_partition_id())
+    rows = ranked(docs.where("tokens is not null").select("id", "tokens"), "id", keep_part=True).withColumnRenamed("mr_part", "part")
     from ..session import stage
 
     rows = stage(rows.withColumn("cost", F.size("tokens") + between), "packed")

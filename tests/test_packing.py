@@ -23,6 +23,20 @@ def test_concat(spark):
     assert run(spark, [], sequence_length=3, strategy="concat_eos") == []
 
 
+def test_many_ranges(spark):
+    lists = [[k] * (k % 5) for k in range(1, 400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = run(spark, lists, eos=-1, sequence_length=10, strategy="concat_eos")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stream = [t for x in lists for t in [*x, -1]][:-1]
+    assert [t for r in got for t in r.tokens] == stream + [0] * (-len(stream) % 10)
+
+
 def test_document_mask(spark):
     (r,) = run(spark, [[10, 11], [20]], eos=9, sequence_length=4, strategy="document_mask")
     assert (r.tokens, r.document_ids) == ([10, 11, 9, 20], [0, 0, 0, 1])
