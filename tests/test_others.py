@@ -54,7 +54,7 @@ def test_extractors(spark):
     page = b"<html><head><title>T</title><style>x{}</style></head><body><h1>A &amp; B</h1><!-- c --><p>one <b>two</b><p>$x^2$<script>'</p>'</script></body></html>"
     assert extract.html_text(page) == "T\nA & B\none two\n$x^2$\n"[: len(extract.html_text(page))]
     stream = zlib.compress(b"BT /F1 12 Tf (Hello) Tj 0 -14 Td [(PD) 20 (F)] TJ ET")
-    pdf = b"%PDF-1.4\n1 0 obj <</Type /Pages /Kids [2 0 R] /Count 1>> endobj\n2 0 obj <</Type /Page /Contents 3 0 R>> endobj\n3 0 obj <</Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj" % (len(stream), stream)
+    pdf = b"%%PDF-1.4\n1 0 obj <</Type /Pages /Kids [2 0 R] /Count 1>> endobj\n2 0 obj <</Type /Page /Contents 3 0 R>> endobj\n3 0 obj <</Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj" % (len(stream), stream)
     assert extract.pdf_text(pdf) == "Hello\nPDF"
     rows = [("a.html", page, None), ("b.PDF", pdf, None), ("c", b"x % y", "text/x-tex"), ("d.txt", b"x", None), ("e.tex", b"", None), ("f.html", b"\xff", None), ("g.html", None, None)]
     got = {r.path: (r.format, r.error) for r in extract.extract(spark.createDataFrame(rows, "path string, content binary, media_type string")).collect()}
@@ -85,7 +85,7 @@ def test_mix():
 
 
 def test_claims_against_sources(spark):
-    rows = [("The cat has 3 kittens.", "The cat has 4 kittens", "contradicted"), ("Birds do not sing here", "birds sing", "not_in_source"), ("They are not happy now", "happy", "contradicted"), ("a b c", "b c", "supported"), ("large blue stones", "large stones", "supported"), ("x", " ", "not_in_source"), ("large blue stones", "green stones", "not_in_source")]
+    rows = [("The cat has 3 kittens.", "The cat has 4 kittens", "contradicted"), ("Birds do not sing here", "birds sing", "contradicted"), ("They are not happy now", "happy", "contradicted"), ("a b c", "b c", "supported"), ("large blue stones", "large stones", "supported"), ("x", " ", "not_in_source"), ("large blue stones", "green stones", "not_in_source")]
     got = spark.createDataFrame(rows, "s string, c string, w string").select("w", synth.check_claim(F.col("s"), F.col("c")).alias("g")).collect()
     assert [r.g for r in got] == [r.w for r in got]
 
