@@ -92,16 +92,26 @@ def fast_signatures(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 
 def band_keys(signed: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """``(id, band, key)``: the hash of each band's rows, each as 8 little-endian bytes."""
+    """``(id, band, key)``: the hash of each band's rows, each as 8 little-endian bytes.
 
-    def little(h):
-        return F.concat(*(F.substring(h, at, 2) for at in range(15, 0, -2)))
+    The bytes are turned in Python: as Columns, 128 reversed hashes are a plan of thousands of expressions.
+    """
+    import hashlib
+
+    import pandas as pd
 
-    keys = []
-    for b in range(config.bands):
-        rows = [little(F.col("signature")[b * config.rows + r]) for r in range(config.rows)]
-        keys.append(F.struct(F.lit(b).alias("band"), hashing.first_u64_le(F.sha2(F.unhex(F.concat(*rows)), 256)).alias("key")))
-    return signed.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.band", "k.key")
+    def hashed(batches):
+        for batch in batches:
+            keys = []
+            for signature in batch["signature"]:
+                rows = [bytes.fromhex(x)[::-1] for x in signature]
+                digests = (hashlib.sha256(b"".join(rows[k * config.rows : (k + 1) * config.rows])).digest() for k in range(config.bands))
+                keys.append([d[:8][::-1].hex() for d in digests])
+            yield pd.DataFrame({"id": batch["id"], "keys": pd.Series(keys, dtype=object)})
+
+    kind = signed.schema["id"].dataType.simpleString()
+    out = signed.select("id", "signature").mapInPandas(hashed, f"id {kind}, keys array<string>")
+    return out.select("id", F.posexplode("keys").alias("band", "key"))
 
 
 def near_clusters(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool = False) -> DataFrame:
