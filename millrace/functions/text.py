@@ -48,7 +48,12 @@ def windows(tokens: Column, n: int) -> Column:
     none = F.array().cast("array<string>")
 
     def runs(t: Column) -> Column:
-        return F.when(F.size(t) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")))
+        # Shifted copies zipped together: one slice for each of the n words, not one for each window.
+        m = F.size(t) - (n - 1)
+        out = F.slice(t, 1, m)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(t, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(t) < n, none).otherwise(out)
 
     return bound(tokens, runs)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import classify, decontam, dedup, graph, mixture, packing, synth, tokenizer  # noqa: F401
-from ..session import table
+from ..session import spread, table
 from ..sources import extract
 from . import sql as q
 
@@ -30,7 +30,7 @@ def register(sql: str | None = None):
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null")
-    return rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.sha2("text", 256).alias("content_hash"), "source", "doc_id")
+    return spread(rows.select("doc_id", "text", "source")).select(F.col("doc_id").cast("string").alias("id"), "text", F.sha2("text", 256).alias("content_hash"), "source", "doc_id")
 
 
 @register(f"""WITH {q.DOCS}, x AS (SELECT id, content_hash, sha256({q.normalize('text')}) AS h FROM docs)
@@ -112,7 +112,7 @@ def select_kept(spark, d):
 
 
 def corpus(spark, d):
-    return table(spark, d, "corpus").select("id", "text", "shard_id")
+    return spread(table(spark, d, "corpus").select("id", "text", "shard_id"))
 
 
 _GRAMS = f"""items AS (SELECT suite, item_id, {q.words(q.collapse('lower(text)'))} AS w FROM eval_item WHERE text IS NOT NULL),
