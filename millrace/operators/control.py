@@ -39,10 +39,10 @@ def should_stop(predicted: Column, observed: Column) -> Column:
 def replica_vote(hashes: DataFrame) -> DataFrame:
     """``(shard, winner, quarantine)`` of ``(shard, replica, hash)``.
 
-    The hash of more than half of the replicas wins, else that of the first one; any other hash quarantines.
+    The hash of more than half of the replicas wins, else that of the first one, of two the smaller; any other hash quarantines.
     """
     counts = hashes.groupBy("shard", "hash").agg(F.count("*").alias("n"), F.min("replica").alias("first"))
-    out = counts.groupBy("shard").agg(F.sum("n").alias("total"), F.max(F.struct("n", "hash")).alias("most"), F.min_by("hash", "first").alias("leader"), F.count("*").alias("kinds"))
+    out = counts.groupBy("shard").agg(F.sum("n").alias("total"), F.max(F.struct("n", "hash")).alias("most"), F.min_by("hash", F.struct("first", "hash")).alias("leader"), F.count("*").alias("kinds"))
     return out.select("shard", F.when(F.col("most.n") * 2 > F.col("total"), F.col("most.hash")).otherwise(F.col("leader")).alias("winner"), (F.col("kinds") > 1).alias("quarantine"))
 
 

@@ -76,7 +76,7 @@ def scaling_fit(spark, d):
 
 
 @register("""WITH x AS (SELECT l_orderkey AS shard, l_returnflag AS hash, count(*) AS n, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem GROUP BY 1, 2),
-y AS (SELECT shard, sum(n) AS total, max(n) AS most, arg_max(hash, (n, hash)) AS top, arg_min(hash, first) AS leader, count(*) AS kinds FROM x GROUP BY 1)
+y AS (SELECT shard, sum(n) AS total, max(n) AS most, arg_max(hash, (n, hash)) AS top, arg_min(hash, (first, hash)) AS leader, count(*) AS kinds FROM x GROUP BY 1)
 SELECT shard, CASE WHEN most * 2 > total THEN top ELSE leader END AS winner, kinds > 1 AS quarantine FROM y""")
 def sdc_majority(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("shard"), (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("replica"), F.col("l_returnflag").alias("hash"))
