@@ -1,7 +1,7 @@
 """Problem 7: texts that were cut before their end.
 
 Method: near copies are found by min-hash banding over five-word shingles and verified at a
-similarity of 0.8; each open-ended text is aligned with the longest copy in its buckets, and
+similarity of 0.8; each open-ended text is aligned with every text of its buckets, and
 is cut where the alignment ends inside a word or sentence of the copy. Texts without such a
 copy are scored by the terminality of their closing words: how often the last words, in the
 context of the one or two before them, end a sentence or line elsewhere, against how often
@@ -34,6 +34,8 @@ BANDS, ROWS = 20, 6
 TERMINALITY = 0.2
 #: Texts up to this length without any sentence are titles.
 TITLE = 60
+#: Texts of a bucket that meet in one step of the join.
+BLOCK = 2_000
 #: Entries of a task's table of counts before it is handed on.
 HELD = 400_000
 
@@ -165,7 +167,7 @@ def band_keys(text: str) -> list[int]:
 
 
 def ends_early(text: str, copy: str) -> bool | None:
-    """Whether ``text`` stops inside a word or sentence of its near copy; None if they can't be aligned."""
+    """Whether ``text`` stops inside a word or sentence of its near copy; None if they can't be aligned or both stop at the same open word."""
     a, b = shingle_hashes(text), shingle_hashes(copy)
     body = core(text)[0]
     mine, other = tokens(body), tokens(copy)
@@ -179,7 +181,9 @@ def ends_early(text: str, copy: str) -> bool | None:
     there = other[at]
     if there.rstrip("\0") != last:
         return True if there.startswith(last) else None
-    return not there.endswith("\0") and at + 1 < len(other)
+    if at + 1 == len(other) and not there.endswith("\0"):
+        return None
+    return not there.endswith("\0")
 
 
 def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -315,15 +319,22 @@ def closing_scores(ends: DataFrame, counts: DataFrame, longs: DataFrame) -> Data
 
 
 def near_copies(prints: DataFrame) -> DataFrame:
-    """``(h, copy)``: each open-ended text with the longest text of each bucket that it shares.
+    """``(h, copy)``: each open-ended text with every other text that it shares a bucket with.
 
-    Buckets are only aggregated and joined by key, never gathered: a bucket of any size sends
-    one row from each task and gives one link for each of its texts.
+    Left out are only pairs whose numbers of shingles ``n`` are too far apart for the similarity.
+    Buckets are joined in blocks, so that a step of the join holds about ``BLOCK`` texts of either side
+    whatever the size of the bucket.
     """
-    keys = prints.select("h", "size", "open", F.posexplode("bands").alias("band", "key"))
-    heads = keys.groupBy("band", "key").agg(F.max(F.struct("size", "h")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    links = keys.where("open").join(heads.select("band", "key", F.col("head.h").alias("copy")), ["band", "key"])
-    return links.where("h <> copy").select("h", "copy").distinct()
+    keys = prints.select("h", "n", "open", F.posexplode("bands").alias("band", "key"))
+    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.count_if("open").alias("o")).where("m > 1 and o > 0")
+    blocks = lambda x: F.ceil(F.col(x) / BLOCK)
+    rows = keys.join(sizes.select("band", "key", blocks("o").alias("os"), blocks("m").alias("ms")), ["band", "key"])
+    own = lambda parts: F.pmod(F.xxhash64("h"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    ours = rows.where("open").select("band", "key", "h", "n", own("os").alias("i"), every("ms").alias("j"))
+    others = rows.select("band", "key", F.col("h").alias("copy"), F.col("n").alias("copy_n"), every("os").alias("i"), own("ms").alias("j"))
+    close = F.least("n", "copy_n") >= SIMILARITY * F.greatest("n", "copy_n")
+    return ours.join(others, ["band", "key", "i", "j"]).where((F.col("h") != F.col("copy")) & close).select("h", "copy").distinct()
 
 
 def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -334,19 +345,19 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             ends = [ending(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "h": batch["h"], "size": batch["text"].str.len(), "verdict": [e[0] for e in ends], "open": [e[0] == "open" for e in ends],
+                "h": batch["h"], "n": [len(shingle_hashes(t)) for t in batch["text"]], "verdict": [e[0] for e in ends], "open": [e[0] == "open" for e in ends],
                 "z": [e[1] for e in ends], "a": [e[2] for e in ends], "b": [e[3] for e in ends], "c": [e[4] for e in ends], "bands": [band_keys(t) for t in batch["text"]]})
 
-    prints = stage(texts.mapInPandas(look, "h string, size long, verdict string, open boolean, z string, a string, b string, c string, bands array<long>"), "prints")
+    prints = stage(texts.mapInPandas(look, "h string, n long, verdict string, open boolean, z string, a string, b string, c string, bands array<long>"), "prints")
     counts = stage(word_counts(texts), "counts")
     links = near_copies(prints)
-    pairs = links.join(texts, "h").join(texts.select(F.col("h").alias("copy"), F.col("text").alias("longer")), "copy")
+    pairs = links.join(texts, "h").join(texts.select(F.col("h").alias("copy"), F.col("text").alias("other")), "copy")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"h": batch["h"], "early": pd.Series([ends_early(a, b) for a, b in zip(batch["text"], batch["longer"])], dtype="boolean")})
+            yield pd.DataFrame({"h": batch["h"], "early": pd.Series([ends_early(a, b) for a, b in zip(batch["text"], batch["other"])], dtype="boolean")})
 
-    aligned = pairs.select("h", "text", "longer").mapInPandas(align, "h string, early boolean").where("early is not null").groupBy("h").agg(F.max("early").alias("early"))
+    aligned = pairs.select("h", "text", "other").mapInPandas(align, "h string, early boolean").where("early is not null").groupBy("h").agg(F.max("early").alias("early"))
     ends = prints.where("verdict in ('open', 'line', 'decimal')").select("h", "verdict", "z", "a", "b", "c")
     scored = closing_scores(ends, counts, long_counts(texts, ends)).join(aligned, "h", "left")
     limit = F.when(F.col("verdict") == "decimal", F.lit(TERMINALITY / 2)).otherwise(F.lit(TERMINALITY))

@@ -72,3 +72,16 @@ def test_band_keys_find_similar_texts():
     other = words[:100] + ["new"] + words[101:]
     a, b = cutoff.band_keys(" ".join(words)), cutoff.band_keys(" ".join(other))
     assert any(x == y for x, y in zip(a, b)) and len(a) == cutoff.BANDS and cutoff.band_keys("four words are few") == []
+
+
+def test_every_text_of_a_bucket_is_a_candidate(spark, monkeypatch):
+    rows = [("a", 10, True, [1, 5]), ("b", 11, False, [1, 6]), ("c", 100, False, [1, 5]), ("d", 12, False, [2, 5]), ("e", 9, True, [3, 7])]
+    prints = spark.createDataFrame([(h, n * 6, n, o, bands) for h, n, o, bands in rows], "h string, size long, n long, open boolean, bands array<long>")
+    for block in (2, 2_000):
+        monkeypatch.setattr(cutoff, "BLOCK", block, raising=False)
+        assert {tuple(r) for r in cutoff.near_copies(prints).collect()} == {("a", "b"), ("a", "d")}
+
+
+def test_copies_that_stop_at_the_same_word_decide_nothing():
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    assert cutoff.ends_early(words, words + " …") is None and cutoff.ends_early(words, words + ".") is False and cutoff.ends_early(words, words + " on.") is True
