@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +61,31 @@ def exact_paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """``(id, signature)``: for each seed the least hash over the different shingles; documents without shingles have none."""
+    """``(id, signature)``: for each seed the least hash over the different shingles; documents without shingles have none.
+
+    Shingles that texts of a batch share are hashed once; as Columns, 128 seeds are a plan that takes minutes.
+    """
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
     parts = docs.where("text is not null").select("id", F.array_distinct(text.shingles(F.col("text"), config.shingle)).alias("s")).where(F.size("s") > 0)
-    least = [F.array_min(F.transform("s", partial(hashing.seeded_hash, k))) for k in range(config.hashes)]
-    return parts.select("id", F.array(*least).alias("signature"))
+
+    def least(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch, places = whole.iloc[at : at + 1000], {}
+                index = np.array([places.setdefault(x, len(places)) for s in batch["s"] for x in s], dtype=np.int64)
+                starts = np.cumsum([0, *batch["s"].str.len()])[:-1]
+                coded, low = [x.encode() for x in places], []
+                for k in range(config.hashes):
+                    seed = k.to_bytes(8, "little")
+                    hashes = np.frombuffer(b"".join([hashlib.sha256(seed + x).digest()[:8] for x in coded]), dtype="<u8")
+                    low.append(np.minimum.reduceat(hashes[index], starts))
+                yield pd.DataFrame({"id": batch["id"], "signature": pd.Series([[f"{x:016x}" for x in row] for row in np.array(low).T.tolist()], dtype=object, index=batch.index)})
+
+    return parts.mapInPandas(least, f"id {docs.schema['id'].dataType.simpleString()}, signature array<string>")
 
 
 def fast_signatures(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:

@@ -93,6 +93,24 @@ def dedup_near_clusters(spark, d):
     return dedup.near_clusters(docs(spark, d), SMALL)
 
 
+@register()
+def minhash_signature_full(spark, d):
+    """As ``minhash_signature`` with the reference's 128 hashes."""
+    return dedup.signatures(docs(spark, d)).select("id", F.array_join("signature", ",").alias("signature"))
+
+
+@register()
+def lsh_band_keys_full(spark, d):
+    """As ``lsh_band_keys`` with the reference's 32 bands of 4 rows."""
+    return dedup.band_keys(dedup.signatures(docs(spark, d)))
+
+
+@register()
+def dedup_near_clusters_full(spark, d):
+    """As ``dedup_near_clusters`` with the reference's 32 bands of 4 rows."""
+    return dedup.near_clusters(docs(spark, d))
+
+
 @register()
 def dedup_near_fast(spark, d):
     return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -82,3 +83,36 @@ def test_components(spark, edges):
 def test_long_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in graph.components(edges).collect()} == {0}
+
+
+def brute_signature(text, n=5, hashes=128):
+    words = " ".join(text.lower().split()).split()
+    shingles = {" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
+    return [min(int.from_bytes(hashlib.sha256(seed.to_bytes(8, "little") + s.encode()).digest()[:8], "little") for s in shingles) for seed in range(hashes)]
+
+
+def test_full_queries_are_the_reference_rule(spark, tmp_path):
+    from millrace.plans import corpus
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "délta"]) for _ in range(rnd.choice([3, 5, 40, 60]))) for _ in range(40)]
+    texts += [t + " and a new end" for t in texts[:12]]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (99, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {str(k): brute_signature(t) for k, t, _ in rows if len(t.split()) >= 5}
+    got = {r.id: [int(x, 16) for x in r.signature.split(",")] for r in corpus.QUERIES["minhash_signature_full"](spark, str(tmp_path)).collect()}
+    assert got == wanted
+    pack = lambda xs: b"".join(x.to_bytes(8, "little") for x in xs)
+    keys = {(i, b, f"{int.from_bytes(hashlib.sha256(pack(s[b * 4 : b * 4 + 4])).digest()[:8], 'little'):016x}") for i, s in wanted.items() for b in range(32)}
+    assert {tuple(r) for r in corpus.QUERIES["lsh_band_keys_full"](spark, str(tmp_path)).collect()} == keys
+    cluster = {i: i for i in wanted}
+    by = {}
+    for i, b, key in keys:
+        by.setdefault((b, key), []).append(i)
+    for _ in wanted:
+        for members in by.values():
+            least = min(cluster[i] for i in members)
+            cluster.update((i, least) for i in members)
+    alone = [c for c in cluster.values() if list(cluster.values()).count(c) == 1]
+    near = corpus.QUERIES["dedup_near_clusters_full"](spark, str(tmp_path)).collect()
+    assert {r.id: r.cluster for r in near} == {i: c for i, c in cluster.items() if c not in alone} and near
