@@ -8,6 +8,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +37,26 @@ def best_pair(counts: DataFrame):
     return counts.orderBy(F.desc("n"), "left", "right").limit(1).first()
 
 
-def merged(ids: list[int], left: int, right: int, new: int) -> list[int]:
+def merged(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     """Each pair, from the left and without overlap, as the new id."""
-    out, k = [], 0
-    while k < len(ids):
-        if k + 1 < len(ids) and ids[k] == left and ids[k + 1] == right:
-            out.append(new)
-            k += 2
-        else:
-            out.append(ids[k])
-            k += 1
-    return out
+    at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+    if left == right and len(at):
+        # In a run of overlapping pairs, every other one counts.
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, place))
+        at = at[(place - first) % 2 == 0]
+    out = ids.copy()
+    out[at] = new
+    return np.delete(out, at + 1)
+
+
+#: Texts of a batch that are joined to one array.
+TEXTS = 200
+
+
+def _flat(lists: pd.Series) -> np.ndarray:
+    """The lists in one array, with -1 after each."""
+    return np.concatenate([x for ids in lists for x in (np.asarray(ids, dtype=np.int64), np.array([-1]))])
 
 
 def train(docs: DataFrame, vocab_size: int, text_col: str = "text", every: int = 8) -> list[tuple[int, int]]:
@@ -56,34 +66,54 @@ def train(docs: DataFrame, vocab_size: int, text_col: str = "text", every: int =
     Different texts are merged once and weigh as often as they are there.
     """
     corpus = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("t")).agg(F.count("*").alias("times"))
-    corpus = stage(corpus.select(byte_ids(F.col("t")).alias("ids"), "times"), "bpe")
     merges: list[tuple[int, int]] = []
     pending: list[tuple[int, int, int]] = []
 
-    def apply(df: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.iloc[at : at + TEXTS]
+                ids = [np.frombuffer(t.encode(), dtype=np.uint8).astype(np.int32) + FIRST_BYTE for t in batch["t"]]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object, index=batch.index), "times": batch["times"]})
+
+    def applied(batches: Iterator[pd.DataFrame], steps: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, pd.Series]]:
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.iloc[at : at + TEXTS]
+                flat = _flat(batch["ids"])
+                for step in steps:
+                    flat = merged(flat, *step)
+                yield flat, batch["times"]
+
+    def keep(steps: list[tuple[int, int, int]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for flat, times in applied(batches, steps):
+                ids = [x[:-1].astype(np.int32) for x in np.split(flat, np.flatnonzero(flat == -1) + 1)[:-1]]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object, index=times.index), "times": times})
+
+        return corpus.mapInPandas(run, "ids array<int>, times long")
+
+    def counts(steps: list[tuple[int, int, int]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for ids in batch["ids"]:
-                    ids = list(ids)
-                    for left, right, new in steps:
-                        ids = merged(ids, left, right, new)
-                    out.append(ids)
-                yield pd.DataFrame({"ids": pd.Series(out, dtype=object), "times": batch["times"]})
+            for flat, times in applied(batches, steps):
+                text = np.cumsum(flat == -1)
+                inside = (flat[:-1] >= 0) & (flat[1:] >= 0)
+                pairs, which = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
+                n = np.zeros(len(pairs), dtype=np.int64)
+                np.add.at(n, which, times.to_numpy()[text[:-1][inside]])
+                yield pd.DataFrame({"left": pairs >> 32, "right": pairs & 0xFFFFFFFF, "n": n})
 
-        return df.mapInPandas(run, "ids array<int>, times long") if steps else df
+        return corpus.mapInPandas(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
+    corpus = stage(corpus.mapInPandas(first, "ids array<int>, times long"), "bpe")
     while FIRST_MERGE + len(merges) < vocab_size:
-        now = apply(corpus, pending)
-        pairs = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.element_at("ids", k).alias("left"), F.element_at("ids", k + 1).alias("right")))
-        counts = now.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), "times").groupBy("p.left", "p.right").agg(F.sum("times").alias("n"))
-        best = best_pair(counts)
+        best = best_pair(counts(pending))
         if best is None:
             break
         pending.append((best.left, best.right, FIRST_MERGE + len(merges)))
         merges.append((best.left, best.right))
         if len(pending) >= every:
-            corpus, pending = stage(apply(corpus, pending), "bpe"), []
+            corpus, pending = stage(keep(pending), "bpe"), []
     return merges
 
 
@@ -174,7 +204,7 @@ class Bpe:
 def encode_column(bpe: Bpe, text: str) -> Column:
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else bpe.encode(t) for t in texts], dtype=object)
+        return pd.Series([None if t is None else np.array(bpe.encode(t), dtype=np.int32) for t in texts], dtype=object)
 
     return encode(F.col(text))
 
@@ -182,7 +212,7 @@ def encode_column(bpe: Bpe, text: str) -> Column:
 def decode_column(bpe: Bpe, ids: str) -> Column:
     @F.pandas_udf(T.StringType())
     def decode(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else bpe.decode([int(i) for i in x]) for x in lists], dtype=object)
+        return pd.Series([None if x is None else bpe.decode(x.tolist()) for x in lists], dtype=object)
 
     return decode(F.col(ids))
 

@@ -351,20 +351,15 @@ def bpe_pair_counts(spark, d):
     return tokenizer.pair_counts(docs(spark, d).select(tokenizer.byte_ids(F.col("text")).alias("ids")))
 
 
-def _titles(spark, d):
-    """The labels of the tables: a small corpus for training merges."""
-    return table(spark, d, "documents").select(F.col("source").alias("text"))
-
-
 @register()
 def bpe_train_merges(spark, d):
-    merges = tokenizer.train(_titles(spark, d), tokenizer.FIRST_MERGE + 12)
+    merges = tokenizer.train(docs(spark, d), tokenizer.FIRST_MERGE + 12)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left int, right int")
 
 
 @register()
 def bpe_encode(spark, d):
-    bpe = tokenizer.Bpe(tokenizer.train(_titles(spark, d), tokenizer.FIRST_MERGE + 12))
+    bpe = tokenizer.Bpe(tokenizer.train(docs(spark, d), tokenizer.FIRST_MERGE + 12))
     rows = docs(spark, d).select("doc_id", "text").withColumn("ids", tokenizer.encode_column(bpe, "text")).withColumn("back", tokenizer.decode_column(bpe, "ids"))
     return rows.select("doc_id", F.size("ids").alias("n"), (F.col("back") == F.col("text")).alias("same"))
 

@@ -41,3 +41,31 @@ def test_queue_is_the_plain_loop():
 def test_byte_ids_and_pairs(spark):
     rows = spark.createDataFrame([("aé",), ("",), (None,)], "t string").select(tokenizer.byte_ids(F.col("t")).alias("ids")).collect()
     assert [r.ids for r in rows] == [[101, 199, 173], [], None]
+
+
+def slow_train(texts, n):
+    ids, merges = [[4 + b for b in t.encode()] for t in texts], []
+    while len(merges) < n:
+        counts = {}
+        for x in ids:
+            for p in zip(x, x[1:]):
+                counts[p] = counts.get(p, 0) + 1
+        best = min(counts, key=lambda p: (-counts[p], p))
+        for x in ids:
+            k = 0
+            while k < len(x) - 1:
+                if (x[k], x[k + 1]) == best:
+                    x[k : k + 2] = [270 + len(merges)]
+                k += 1
+        merges.append(best)
+    return merges
+
+
+def test_merges_come_from_the_texts(spark, tmp_path):
+    from millrace.plans import corpus
+
+    texts = [*CORPUS, CORPUS[0], "aaaa aaaaa aaa", "naïve 🙂🙂", "", None]
+    spark.createDataFrame([(k, t, "a source") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.left, r.right) for r in corpus.QUERIES["bpe_train_merges"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == slow_train([t for t in texts if t is not None], 12)
+    assert tokenizer.train(spark.createDataFrame([("aaaaa aa",), ("aaaaa aa",)], "text string"), 273) == slow_train(["aaaaa aa"] * 2, 3)
