@@ -134,21 +134,58 @@ def band_keys(signed: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     return out.select("id", F.posexplode("keys").alias("band", "key"))
 
 
-def near_clusters(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool = False) -> DataFrame:
-    """``(id, cluster, kept_id)`` of documents that share a band with another one.
+#: Similarity from which texts are near copies, and texts of a bucket that meet in one step of the join.
+SIMILARITY, BLOCK = 0.8, 2_000
 
-    Buckets are stars around their least id, so a bucket of any size gives one edge for each member.
+
+def similar_pairs(docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs that share a band and at least ``similarity`` of their shingles, and each text with the least of its equals.
+
+    Every pair of a bucket is looked at, in blocks. Numbers of shingles, and 256 bits of which shingles set one each,
+    bound what two texts can share; the shingles themselves meet only where that bound reaches the similarity.
+    """
+    hashes = F.array_distinct(F.transform(text.shingles(F.col("text"), width), lambda x: F.xxhash64(x)))
+    sets = docs.where("text is not null").select("id", F.array_sort(hashes).alias("s")).where(F.size("s") > 0)
+    bits = [F.expr(f"aggregate(filter(s, x -> (shiftright(x, 6) & 3) = {k}), 0L, (v, x) -> v | shiftleft(1L, int(x & 63)))").alias(f"w{k}") for k in range(4)]
+    sets = stage(sets.select("id", "s", F.size("s").alias("n"), F.md5(F.concat_ws(",", F.col("s").cast("array<string>"))).alias("g"), *bits), "sets")
+    hubs = sets.groupBy("g").agg(F.min("id").alias("hub"))
+    equal = sets.join(hubs, "g").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    # Equal texts share all bands, so the least of them stands for all.
+    own = sets.drop("s").join(hubs, "g").where("id = hub").drop("g", "hub")
+    rows = stage(keys.join(own, "id"), "members")
+    sizes = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = rows.join(sizes, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    words = [f"w{k}" for k in range(4)]
+    left = rows.select("band", "key", F.col("id").alias("a"), F.col("n").alias("n1"), *(F.col(w).alias(f"a{w}") for w in words), F.col("mine").alias("i"), every.alias("j"))
+    right = rows.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n2"), *(F.col(w).alias(f"b{w}") for w in words), every.alias("i"), F.col("mine").alias("j"))
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in words), F.lit(0))
+    most = F.least(F.col("n1") - only("a", "b"), F.col("n2") - only("b", "a"))
+    may = most >= similarity * (F.col("n1") + F.col("n2") - most) - 1e-6
+    pairs = left.join(right, ["band", "key", "i", "j"]).where((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
+    return pairs.where(jaccard(F.col("s1"), F.col("s2")) >= similarity).select("a", "b").unionByName(equal)
+
+
+def near_clusters(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool = False, similarity: float | None = None) -> DataFrame:
+    """``(id, cluster, kept_id)`` of documents that share a band with another one and, with a ``similarity``, that share of shingles.
+
+    Without a similarity, which is the reference's rule, buckets are stars around their least id, so a bucket of
+    any size gives one edge for each member.
     """
     signed = (fast_signatures if fast else signatures)(docs, config)
     keys = stage(band_keys(signed, config), "bands")
-    stars = keys.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(stars, ["band", "key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    if similarity is not None:
+        edges = similar_pairs(docs, keys, config.shingle, similarity)
+    else:
+        stars = keys.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        edges = keys.join(stars, ["band", "key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     labelled = components(edges).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
     ranked = labelled.join(docs.select("id", "content_hash"), "id")
     return ranked.select("id", "cluster").join(ranked.groupBy("cluster").agg(_keeper().alias("kept_id")), "cluster").select("id", "cluster", "kept_id")
 
 
-def dedup_corpus(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool = False) -> DataFrame:
+def dedup_corpus(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool = False, similarity: float | None = None) -> DataFrame:
     """``(id, status)`` after the exact document, exact paragraph and near passes, each over what the last one kept."""
     docs = stage(docs.select("id", "text", "content_hash").where("text is not null"), "dedup")
     if not docs.limit(1).count():
@@ -157,7 +194,7 @@ def dedup_corpus(docs: DataFrame, config: NearConfig = NearConfig(), fast: bool
     after_one = stage(docs.join(one, "id", "left_semi"), "exact")
     two = exact_paragraphs(after_one).where("kept").select("id")
     after_two = stage(after_one.join(two, "id", "left_semi"), "paragraph")
-    near = near_clusters(after_two, config, fast).where("id <> kept_id").select("id", F.lit("dropped_near").alias("near"))
+    near = near_clusters(after_two, config, fast, similarity).where("id <> kept_id").select("id", F.lit("dropped_near").alias("near"))
     rows = docs.select("id").join(after_two.select("id", F.lit(True).alias("left")), "id", "left").join(near, "id", "left")
     return rows.select("id", F.when(F.col("near").isNotNull(), F.col("near")).when(F.col("left"), "kept").otherwise("dropped_exact").alias("status"))
 

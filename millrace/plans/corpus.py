@@ -113,11 +113,23 @@ def dedup_near_clusters_full(spark, d):
 
 @register()
 def dedup_near_fast(spark, d):
+    return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True, similarity=dedup.SIMILARITY)
+
+
+@register()
+def dedup_near_banded(spark, d):
+    """The reference's rule: a shared band is enough."""
     return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True)
 
 
 @register()
 def dedup_corpus(spark, d):
+    return dedup.dedup_corpus(docs(spark, d), dedup.NearConfig(), fast=True, similarity=dedup.SIMILARITY)
+
+
+@register()
+def dedup_corpus_banded(spark, d):
+    """The reference's rule: a shared band is enough."""
     return dedup.dedup_corpus(docs(spark, d), dedup.NearConfig(), fast=True)
 
 

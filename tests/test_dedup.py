@@ -116,3 +116,29 @@ def test_full_queries_are_the_reference_rule(spark, tmp_path):
     alone = [c for c in cluster.values() if list(cluster.values()).count(c) == 1]
     near = corpus.QUERIES["dedup_near_clusters_full"](spark, str(tmp_path)).collect()
     assert {r.id: r.cluster for r in near} == {i: c for i, c in cluster.items() if c not in alone} and near
+
+
+@pytest.mark.parametrize("block", [3, 2_000])
+def test_near_copies_are_verified(spark, tmp_path, monkeypatch, block):
+    from millrace.plans import corpus
+
+    monkeypatch.setattr(dedup, "BLOCK", block, raising=False)
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for end in (1, 2, 3, 10, 20, 30, 45, 60, 60):
+        texts += [" ".join([*base[:-end], *(f"x{rnd.randrange(10**6)}" for _ in range(end))]) for _ in range(3)]
+    texts += [texts[0], texts[0].upper(), texts[20]]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    bands = {}
+    for r in dedup.band_keys(dedup.fast_signatures(corpus.docs(spark, str(tmp_path)))).collect():
+        bands.setdefault(int(r.id), set()).add((r.band, r.key))
+    n = range(len(texts))
+    linked = [(a, b) for a in n for b in n if a < b and bands[a] & bands[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    cluster = {x: str(x) for pair in linked for x in pair}
+    for _ in n:
+        for a, b in linked:
+            cluster[a] = cluster[b] = min(cluster[a], cluster[b])
+    got = {int(r.id): r.cluster for r in corpus.QUERIES["dedup_near_fast"](spark, str(tmp_path)).collect()}
+    assert got == cluster and len(got) < len(texts)
