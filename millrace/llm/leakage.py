@@ -162,8 +162,8 @@ class ItemIndex:
             return []
         have, out = set(ids), []
         for c in sorted(near | sure):
-            suite, item_id, item, wanted = self.items[c]
-            if c not in sure and len(have & wanted) < COVERED * len(wanted):
+            suite, item_id, item, _ = self.items[c]
+            if c not in sure and sum(x in have for x in item) < COVERED * len(item):
                 continue
             marked = tiles(ids, item, min(MIN_TILE, len(item)))
             if marked:
@@ -195,7 +195,7 @@ SCHEMA = "id string, suite string, item_id string, item_words int, longest_run i
 
 
 def scan(corpus: DataFrame, items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """One row for each record and item that share a seed, with the greedy tiles' figures.
+    """One row for each record and item that share a seed and can leak or be there in another order, with the greedy tiles' figures.
 
     A record that is there twice is reported once for each different id. Extra columns on either side don't matter.
     """

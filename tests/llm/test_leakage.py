@@ -52,3 +52,12 @@ def test_blocks_and_empty_index(spark, monkeypatch):
     with pytest.raises(ValueError):
         m.scan(corpus, items.limit(0))
     assert m.leaked(m.scan(corpus.limit(0), items)).count() == 0
+
+
+def test_reordered_items_of_repeated_words_are_found(spark):
+    often, rare = ["so", "it", "goes", "round"], [f"r{k}" for k in range(6)]
+    item = [w for _ in range(9) for w in often] + rare
+    record = [w for k in range(5) for w in [*often, *often, f"x{k}"]]
+    corpus, items = frames(spark, [("a", " ".join(record))], [("s", "1", " ".join(item))])
+    hits = m.scan(corpus, items).collect()
+    assert [r.id for r in hits] == ["a"]
