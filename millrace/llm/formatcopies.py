@@ -158,10 +158,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def copy_groups(prints: DataFrame) -> DataFrame:
-    """``(h, check, kept_id, copies, collision)``, one row for each record however often it is there.
+    """``(h, check, kept_id, copies)``, one row for each record however often it is there.
 
     The aggregate is combined on the map side, so a group of any size sends one row from each
-    task. ``collision`` is true where two different canonical forms share the 128 bits.
+    task. Different canonical forms that share the 128 bits differ in ``check``; ``collisions`` lists them.
     """
     groups = prints.groupBy("h", "check").agg(F.min("id").alias("kept_id"), F.count("*").alias("copies"))
     return groups
