@@ -3,13 +3,17 @@
 ``clean`` removes what has no shape and folds compatibility forms that look like plain
 letters; raised and lowered digits, fractions and circled forms are left alone because
 they look different. ``skeleton`` further maps every letter to the representative of its
-look-alike class, so two strings look the same exactly if their skeletons are equal.
+look-alike class. Classes hold letters that are drawn alike in any text; letters that are
+only close to one another (nu and v, Armenian vo and n) are ``near_letters``, read from the
+confusables of Unicode that Spark's own ICU carries, and it takes a word's script to read them.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+from pyspark.sql import SparkSession
+
 # Classes of letters that look alike. The first of each class stands for it.
 LOOKALIKES = [
     "aаɑ", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oоοօ", "pр", "qԛ", "sѕ", "wԝ", "xх", "yу", "vѵ",
@@ -66,7 +70,9 @@ class _Skeleton(dict):
     """As ``_Clean``, and each letter becomes the representative of its class."""
 
     def __missing__(self, code: int) -> str:
-        out = "".join(_REP.get(c, c) for d in _CLEAN[code] for c in unicodedata.normalize("NFD", d))
+        # A letter of a class is looked up before compatibility folding, which would make a lunate sigma a final one.
+        known = _REP.get(chr(code))
+        out = known or "".join(_REP.get(c, c) for d in _CLEAN[code] for c in unicodedata.normalize("NFD", d))
         self[code] = out
         return out
 
@@ -90,3 +96,32 @@ def skeleton(text: str) -> str:
 def alternatives(rep: str) -> list[tuple[str, str]]:
     """The letters that look like ``rep``, each with its script."""
     return [(c, script_of(c)) for c in _MEMBERS.get(rep, rep)]
+
+
+#: Scripts whose letters are drawn as Latin capitals, so that a whole word of them reads as Latin.
+DRAWN_AS_LATIN = ("LISU ", "CHEROKEE ")
+
+
+def near_letters(spark: SparkSession) -> dict[str, str]:
+    """Letters of other scripts to the Latin letter they resemble, by the confusables table of Spark's ICU.
+
+    The table says which shape a character shares; the case of the Latin letter is that of the
+    character, since the table itself takes I, l and 1 as one. Latin variants, digits, marks and
+    letters of the classes above aren't in it.
+    """
+    letters = [c for c in map(chr, range(0x370, 0x10000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lt") and c not in _REP and not _no_candidate(c)]
+    between = "\ue000"
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    shapes = checker.getSkeleton(between.join(letters)).split(between)
+    out = {}
+    for letter, shape in zip(letters, shapes):
+        if len(shape) == 1 and shape.isascii() and shape.isalpha():
+            drawn = unicodedata.name(letter, "").startswith(DRAWN_AS_LATIN)
+            if letter.isupper() or drawn:
+                shape = {"l": "I", "o": "O"}.get(shape, shape)
+            out[letter] = shape
+    return out
+
+
+def _no_candidate(char: str) -> bool:
+    return script_of(char) == "latin" or 0x3400 <= ord(char) <= 0x9FFF or 0xAC00 <= ord(char) <= 0xD7FF or unicodedata.decomposition(char) != ""
