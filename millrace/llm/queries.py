@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stage, table
 from . import cutoff, encode, formatcopies, leakage, lookalike, safety, windows
 
 
@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(cases, "case_id", "in_text", model).select(F.col("id_a").alias("case_id_a"), F.col("id_b").alias("case_id_b"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row under the smallest id that looks like it: one row a text, whatever the number of pairs."""
+    cases = table(spark, d, "normalize_cases")
+    return lookalike.look_classes(cases, "case_id", "in_text", lookalike.fit(cases, "in_text", "out_text"))
+
+
 def p1_normalized(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "normalize_cases")
     normalize = lookalike.normalizer(lookalike.fit(cases, "in_text", "out_text"))
@@ -44,10 +50,9 @@ def p3_reordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_status(spark: SparkSession, d: str) -> DataFrame:
-    """What ``decontamination`` of each result should say: flagged if items of its suite leaked."""
-    report = leakage.suite_report(p3_hits(spark, d), table(spark, d, "eval_item"))
-    results = table(spark, d, "eval_result").select("result_id", "suite", F.col("decontamination.status").alias("stated")).distinct()
-    return results.join(F.broadcast(report), "suite", "left").select("result_id", "suite", "stated", "status", "leaked_items", "records")
+    """What ``decontamination`` of each result says and should say."""
+    report = leakage.suite_report(stage(p3_hits(spark, d), "hits"), table(spark, d, "eval_item"))
+    return leakage.corrected(table(spark, d, "eval_result"), report)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_normalized, p2_found, p2_collapsed, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_rates,
+    for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_rates,
               p5_ids, p5_roundtrip, p6_windows, p6_report, p7_found, p7_rates)
 }
 
