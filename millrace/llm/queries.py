@@ -69,6 +69,13 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("doc_id", *(F.round(c, 6).alias(c) for c in safety.CATEGORIES), F.round(1 - F.col("unsafe"), 6).alias("safety"))
 
 
+def p4_held(spark: SparkSession, d: str) -> DataFrame:
+    """Scores, predictions and labels at the ``safety_threshold`` of each configuration."""
+    docs = table(spark, d, "documents").withColumn("h", F.sha2("text", 256))
+    scores = safety.scored(docs, safety.fit(docs, table(spark, d, "human_label")), "doc_id", "text", "h")
+    return safety.held_against(scores, table(spark, d, "prediction"), table(spark, d, "human_label"), table(spark, d, "classifier_config"))
+
+
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return safety.rates(_scores(spark, d))
 
@@ -104,7 +111,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_rates,
+    for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_held, p4_rates,
               p5_ids, p5_roundtrip, p6_windows, p6_report, p7_found, p7_rates)
 }
 

@@ -4,9 +4,9 @@ from millrace.llm import cutoff, safety
 
 
 def test_disguises_are_undone():
-    assert safety.sentences("You are an 1d10t, a m o r o n and p.a.t.h.e.t.i.c, soooo stuuupid!")[0] == ["you", "are", "an", "idiot", "a", "moron", "and", "pathetic", "so", "stupid"]
-    assert safety.sentences("dana: ｆｉlthy ＩＤＩОТ")[0] == ["filthy", "idiot"]
-    assert safety.sentences("") == [] and max(map(len, safety.sentences("word " * 5000))) == safety.LONG
+    assert safety.stretches("You are an 1d10t, a m o r o n and p.a.t.h.e.t.i.c, soooo stuuupid!") == [["you", "are", "an", "idiot", "amoron", "and", "pathetic", "so", "stupid"]]
+    assert safety.stretches("dana: ｆｉlthy ＩＤＩОТ\nTwo. \"Three\" 12") == [["filthy", "idiot"], ["two"], ["thre", "0"]]
+    assert safety.stretches("") == [] and max(map(len, safety.stretches("word " * 5000))) == safety.LONG
 
 
 def labelled(spark):
@@ -32,10 +32,27 @@ def test_scores(spark):
     assert safety.found(safety.scored(docs.limit(0), chain)).count() == 0
 
 
-def test_without_labels_the_seeds_decide(spark):
+def test_without_labels_nothing_is_unsafe(spark):
     docs, labels, _ = labelled(spark)
     chain = safety.fit(docs, labels.limit(0))
-    assert chain.score("you stupid idiot")[-1] == 1.0 and chain.score("a sober word")[-1] == 0.0
+    assert chain.score(["you stupid idiot", None, ""]).max() == 0.0
+    assert safety.scored(docs, chain).count() == 223
+
+
+def test_scores_of_a_text_are_the_highest_of_its_stretches(spark):
+    docs, labels, _ = labelled(spark)
+    chain = safety.fit(docs, labels)
+    one, two, both = chain.score(["You filthy moron should go and die.", "Shut up, you worthless idiot, nobody likes you.", "You filthy moron should go and die. Shut up, you worthless idiot, nobody likes you."])
+    assert (abs(both - [max(a, b) for a, b in zip(one, two)]) < 1e-9).all() and both[-1] > 0.9
+
+
+def test_scores_held_against_thresholds(spark):
+    scores = spark.createDataFrame([("a", 0.9), ("a", 0.9), ("b", 0.1), ("c", 0.2), (None, 0.0)], "h string, unsafe double")
+    predictions = spark.createDataFrame([("A", 0.2, 1, 1), ("a", 0.8, 2, 1), ("B", 1.7, 1, 1), ("c", 0.6, 1, 1), ("c", 0.6, 1, 1), ("d", 0.1, 1, 1)], "content_hash string, safety float, scored_at int, ingested_at int")
+    labels = spark.createDataFrame([("A", False, "x"), ("a", False, "x"), ("b", True, "x"), ("c", True, "x"), ("c", False, "y")], "content_hash string, keep_safety boolean, rater string")
+    configs = spark.createDataFrame([("one", 0.5), ("two", None)], "config_id string, safety_threshold float")
+    rows = [tuple(r) for r in safety.held_against(scores, predictions, labels, configs).collect()]
+    assert rows == [("one", 0.5, 3, 2, 2, 2, 2, 2, 0)]
 
 
 def test_endings():
