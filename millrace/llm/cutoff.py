@@ -1,9 +1,13 @@
 """Problem 7: texts that were cut before their end.
 
-Method: near copies are found by min-hash banding over five-word shingles and verified at a
-similarity of 0.8; each open-ended text is aligned with every text of its buckets, and
-is cut where the alignment ends inside a word or sentence of the copy. Texts without such a
-copy are scored by the terminality of their closing words: how often the last words, in the
+Method: near copies are found by min-hash banding over five-word shingles. A text that was cut is
+the beginning of its copy, however much is gone, so texts are compared by their beginnings:
+each open-ended text has its bands over the longest beginning of a fixed series of lengths that it
+fills, every text over all those beginnings. A bucket is a band together with the four words before
+the last one of the open-ended text, which a copy must hold about where the other stops. A pair that shares a bucket is verified, ``SIMILARITY``
+of the shorter text's shingles being in the other, and aligned; the text is cut where the
+alignment ends inside a word or sentence of the copy. Texts without such a copy are scored by the
+terminality of their closing words: how often the last words, in the
 context of the one or two before them, end a sentence or line elsewhere, against how often
 the sentence, or a longer word that begins the same way, goes on. A text that holds one JSON value
 is cut exactly if that value is left open.
@@ -11,12 +15,15 @@ is cut exactly if that value is left open.
 A sign of omission or a broken character at the end is taken off first; what stands before it
 decides. Null and blank texts are never cut. Identical texts are judged once and share the
 verdict; all counts are over the different texts, without a text's own ending.
+
+Closing words are read first, from the ends of the texts. One pass over the whole texts then
+counts only words and contexts that close some text, and gives only those bands that some
+open-ended text has; both are known by Bloom filters of a fixed number of bits.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,42 +36,68 @@ from ..session import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at a similarity of 0.8 shares a band with a probability of 0.998.
-BANDS, ROWS = 20, 6
+BANDS, ROWS = 16, 5
+#: Lengths in words of the beginnings that are compared: the first, and by how much each is longer than the one before.
+FIRST, GROWTH = 12, 1.25
+#: Where the closing words of an open-ended text may stand in its copy, as shares of the beginning's length.
+AROUND = (0.75, 1.6)
 #: Largest share of endings for which a closing word still counts as unfinished.
 TERMINALITY = 0.2
 #: Texts up to this length without any sentence are titles.
 TITLE = 60
 #: Texts of a bucket that meet in one step of the join.
 BLOCK = 2_000
-#: Entries of a task's table of counts before it is handed on.
-HELD = 400_000
+#: Counts a task holds before it adds them up.
+HELD = 1_000_000
+#: Bits of a filter; more open-ended texts only let more pass.
+BITS = 1 << 26
 
 # Signs put after a cut.
 _OMISSION = re.compile(r"(?:\s|[\x00-\x08\x0b-\x1f\x7f-\x9f�​﻿]|\.\.\.+|…|[\[(<{]\s*(?:\.\.\.+|…|more|cont(?:inued|\.)?|truncated|cut|snip|suite|mehr|más|weiter|gekürzt|continúa|tronqué|read more)\s*[\])>}]|\b(?:read more|see more|weiterlesen|lire la suite|leer más)\b)+$", re.I)
 _BROKEN = re.compile(r"�|\.\.\.|…|[\[(<{]\s*\w*\s*[\])>}]$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_MIXED = re.compile(r"\b(?=\w*0)(?=\w*[^\W\d_])\w+")
-_UNBROKEN = re.compile(r"\w{41,}")
-_STOP = re.compile(r"\s*[.!?]+[\"'”’»)\]*_]*(?=\s|$)|\s*[:;]?\s*\n\s*|[\"'”’»)\]*_|]+\s*\n\s*")
-_TOKEN = re.compile(r"[\w\x00#]+")
+#: Words and numbers, each with the end of the sentence or line after it.
+_PIECE = re.compile(r"(?:\d+(?:[.,]\d+)+\w*|\w+)(?:[^\w.!?\n]*(?:[.!?]+[\"'”’»)\]*_]*(?=\s|$)|\n))?")
+_BARE = re.compile(r"\d+(?:[.,]\d+)+\w*|\w+")
 _LAST = re.compile(r"[^\W_][\w]*$")
 
 
 def core(text: str) -> tuple[str, bool]:
     """The text without outer space and signs of omission, and whether there was such a sign."""
-    found = _OMISSION.search(text)
-    if not found:
-        return text, False
-    return text[: found.start()], bool(_BROKEN.search(found.group()))
+    width = 160
+    while True:
+        found = _OMISSION.search(text[-width:])
+        if not found:
+            return text, False
+        if found.start() or width >= len(text):
+            break
+        width *= 8
+    at = max(0, len(text) - width) + found.start()
+    return text[:at], bool(_BROKEN.search(found.group()))
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words; \\0 follows a word that ends a sentence or line.
+class _Words(dict):
+    """A piece to its word, the word's hash, the hash as it is written and whether a sentence or line ends with it; a cache only.
 
     Numbers are made alike, and so are names: words with digits, and unbroken strings of more than 40 characters.
     """
-    text = _UNBROKEN.sub("#", _MIXED.sub("#", _NUMBER.sub("0", text.lower())))
-    return [t for t in _TOKEN.findall(_STOP.sub("\0 ", text)) if t != "\0"]
+
+    def __missing__(self, piece: str) -> tuple[str, int, int, bool]:
+        bare = _BARE.match(piece).group()
+        word = _NUMBER.sub("0", bare)
+        word = "#" if len(word) > 40 or "0" in word and word != "0" and any(c.isalpha() for c in word) else word
+        out = word, xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(bare), len(bare) < len(piece)
+        if len(self) < 500_000:
+            self[piece] = out
+        return out
+
+
+_WORDS = _Words()
+
+
+def read(text: str) -> list[tuple[str, int, int, bool]]:
+    """Words of the text in lower case, with their hashes and whether a sentence or line ends with each."""
+    return list(map(_WORDS.__getitem__, _PIECE.findall(text.lower())))
 
 
 def json_open(text: str) -> bool | None:
@@ -96,215 +129,245 @@ def in_list(body: str) -> bool:
     return bool(before) and len(before.split()) <= 3 and len(last.split()) <= 4 and before[-1] not in ".!?:;,"
 
 
-def ending(text: str) -> tuple[str, str, str, str, str]:
-    """``(verdict, before4 and before3, before2, before1, last)``.
+def ending(text: str) -> tuple[str, list[tuple[str, int, int, bool]]]:
+    """The verdict and, if words must decide, the last five words.
 
-    The verdict is cut, whole, or how the words must decide: open, decimal after a number with a point,
+    The verdict is json or mark for a text that is cut at an open JSON value or at a mark no sentence ends in, whole,
+    or how the words must decide: open, decimal after a number with a point,
     line if the last line stands for itself and only a broken word counts.
     """
     body, marked = core(text)
     if not body:
-        return "whole", "", "", "", ""
+        return "whole", []
     state = json_open(body)
     if state is not None:
-        return ("cut" if state else "whole"), "", "", "", ""
+        return ("json" if state else "whole"), []
     end = body[-1]
     if end in ",;([{":
         # A sentence can't end in these; lines of code, tables and formulas can.
-        return ("cut" if re.search(r"[^\W\d_]{2,} [^\W\d_]+[,;(]$", body[-80:]) else "whole"), "", "", "", ""
+        return ("mark" if re.search(r"[^\W\d_]{2,} [^\W\d_]+[,;(]$", body[-80:]) else "whole"), []
     decimal = end == "." and re.search(r"(?<![\w.])\d{1,2}\.$", body) is not None
     if not decimal and not _LAST.search(body[-400:]):
-        return "whole", "", "", "", ""
-    words = tokens(body[-400:] if len(body) > 400 else body)
+        return "whole", []
+    words = read(body[-400:])
     if len(body) > 400:
         words = words[1:]
     if not words:
-        return "whole", "", "", "", ""
-    words[-1] = words[-1].rstrip("\0")
-    if len(body) <= TITLE and "\0" not in "".join(words) and not marked:
-        return "whole", "", "", "", ""
-    before = ["^", "^", "^", "^", *(w.rstrip("\0") for w in words[:-1])]
-    verdict = "decimal" if decimal else "line" if in_list(body) else "open"
-    return verdict, f"{before[-4]} {before[-3]}", before[-2], before[-1], words[-1]
-
-
-_HASHES: dict[str, int] = {}
-_A, _B = (np.random.RandomState(20240607).randint(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in "ab")
-
-
-def shingle_hashes(text: str) -> np.ndarray:
-    """Different 64-bit hashes of the five-word shingles."""
-    words = re.findall(r"\w+", text.lower())
-    ids = np.empty(len(words), dtype=np.uint64)
-    for k, w in enumerate(words):
-        h = _HASHES.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(_HASHES) < 1_000_000:  # a cache only
-                _HASHES[w] = h
-        ids[k] = h
-    if len(ids) < SHINGLE:
-        return ids[:0]
-    out = np.zeros(len(ids) - SHINGLE + 1, dtype=np.uint64)
-    for k in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - SHINGLE + 1 + k]
-    out ^= out >> np.uint64(31)
-    return np.unique(out)
-
-
-def band_keys(text: str) -> list[int]:
-    """A 64-bit key for each band; none for texts of fewer than five words."""
-    hashes = shingle_hashes(text)
-    if not len(hashes):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        mixed = hashes[at : at + 512, None] * _A + _B
-        mixed ^= mixed >> np.uint64(29)
-        np.minimum(low, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in rows]
-
-
-def ends_early(text: str, copy: str) -> bool | None:
-    """Whether ``text`` stops inside a word or sentence of its near copy; None if they can't be aligned or both stop at the same open word."""
-    a, b = shingle_hashes(text), shingle_hashes(copy)
-    body = core(text)[0]
-    mine, other = tokens(body), tokens(copy)
-    if len(mine) < SHINGLE or len(np.intersect1d(a, b)) < SIMILARITY * len(np.union1d(a, b)):
-        return None
-    last, tail = mine[-1].rstrip("\0"), mine[-SHINGLE:-1]
-    places = [k for k in range(len(other) - len(tail)) if other[k : k + len(tail)] == tail]
-    if not places:
-        return None
-    at = min(places, key=lambda k: abs(k + len(tail) - len(mine) + 1)) + len(tail)
-    there = other[at]
-    if there.rstrip("\0") != last:
-        return True if there.startswith(last) else None
-    if at + 1 == len(other) and not there.endswith("\0"):
-        return None
-    return not there.endswith("\0")
-
+        return "whole", []
+    if len(body) <= TITLE and not any(w[3] for w in words[:-1]) and not marked:
+        return "whole", []
+    return "decimal" if decimal else "line" if in_list(body) else "open", words[-5:]
 
-def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(h, text)``: each different text that isn't blank, once."""
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]"))
-    return rows.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"))
 
+#: Multipliers of the polynomial hashes, and one number for each kind of key.
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_KINDS = {kind: np.uint64(xxhash.xxh64_intdigest(kind)) for kind in "5321pqct"}
+_START = np.uint64(xxhash.xxh64_intdigest("^"))
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(a, b, c, mid, term, fin)``: how often word c after a, b goes on, ends a sentence or line, ends a text."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+def key(kind: str, *words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of words in a row, of its own for each kind."""
+    out = np.full(words[0].shape, _KINDS[kind])
+    for w in words:
+        out = (out ^ w) * _P
+        out ^= out >> np.uint64(32)
+    return out * _Q
 
-        def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(a.rstrip("\0"), b.rstrip("\0"), c.rstrip("\0\1"), *((0, 0, n) if c[-1] == "\1" else (0, n, 0) if c[-1] == "\0" else (n, 0, 0))) for (a, b, c), n in held.items()], columns=["a", "b", "c", "mid", "term", "fin"])
-            held.clear()
-            return out.groupby(["a", "b", "c"], as_index=False).sum()
 
-        for batch in batches:
-            for text in batch["text"]:
-                body = core(text)[0]
-                words = tokens(body)
-                if words:
-                    if not words[-1].endswith("\0"):
-                        words[-1] += "\1"
-                    held.update(zip(["^", "^", *words], ["^", *words], words))
-                if len(held) > HELD:
-                    yield rows()
-        if held:
-            yield rows()
+_A, _B = (np.random.RandomState(20240607 + k).randint(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for k in range(2))
 
-    part = texts.select("text").mapInPandas(count, "a string, b string, c string, mid long, term long, fin long")
-    return part.groupBy("a", "b", "c").agg(F.sum("mid").alias("mid"), F.sum("term").alias("term"), F.sum("fin").alias("fin"))
 
+def _lengths(n: int) -> list[int]:
+    """The lengths of the beginnings that a text of n words fills."""
+    out, size = [], float(FIRST)
+    while int(size) <= n:
+        out.append(int(size))
+        size *= GROWTH
+    return out
 
-#: Slots of the filter that keeps long contexts of no text's ending out of the shuffle; its size is fixed.
-SLOTS = 1 << 22
 
+def shingle_hashes(words: list[tuple[str, int, int, bool]]) -> np.ndarray:
+    """The hash of each five-word shingle, in order."""
+    ids = np.array([w[2] for w in words], dtype=np.uint64)
+    if len(ids) < SHINGLE:
+        return ids[:0]
+    out = np.zeros(len(ids) - SHINGLE + 1, dtype=np.uint64)
+    for k in range(SHINGLE):
+        out = out * _P + ids[k : len(ids) - SHINGLE + 1 + k]
+    return (out ^ (out >> np.uint64(31))) * _Q
 
-def _slot(b: str, c: str) -> int:
-    return xxhash.xxh32_intdigest(f"{b} {c}") % SLOTS
 
+def band_keys(shingles: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """64-bit keys of the bands over each beginning: a row for each length, a column for each band."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    stops = [n - SHINGLE + 1 for n in lengths]
+    rows = np.full((len(lengths), BANDS * ROWS), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, stops[-1], 4096):  # a long text is taken in parts
+        part = short[at : min(at + 4096, stops[-1]), None] * _A + _B
+        starts = [0, *(x - at for x in stops if at < x < at + len(part))]
+        lows, first = np.minimum.reduceat(part, starts, axis=0), sum(x <= at for x in stops)
+        np.minimum(rows[first : first + len(lows)], lows, out=rows[first : first + len(lows)])
+    rows = np.minimum.accumulate(rows, axis=0)
+    bands = rows.astype(np.uint64).reshape(len(lengths), BANDS, ROWS)
+    out = np.full((len(lengths), BANDS), _Q) + np.arange(BANDS, dtype=np.uint64) * _P + np.array(lengths, dtype=np.uint64)[:, None]
+    for k in range(ROWS):
+        out = (out ^ bands[:, :, k]) * _P
+        out ^= out >> np.uint64(32)
+    return out
 
-def long_counts(texts: DataFrame, ends: DataFrame) -> DataFrame:
-    """``(z, a, b, c, mid, term)`` as ``word_counts``, for four words of context, where some text ends in b c.
 
-    The filter is a table of ``SLOTS`` bits whatever the number of texts; it may let others pass.
-    """
-    spark = texts.sparkSession
+def context_keys(words: list[tuple[str, int, int, bool]]) -> np.ndarray:
+    """The hash of each four words in a row, in order."""
+    ids = np.array([w[2] for w in words], dtype=np.uint64)
+    return key("c", *(ids[k : len(ids) - SHINGLE + 2 + k] for k in range(SHINGLE - 1))) if len(ids) >= SHINGLE - 1 else ids[:0]
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.zeros(SLOTS, dtype=bool)
-        for batch in batches:
-            mine[[_slot(b, c) for b, c in zip(batch["b"], batch["c"])]] = True
-        yield pd.DataFrame({"slot": np.flatnonzero(mine)})
 
-    wanted = np.zeros(SLOTS, dtype=bool)
-    wanted[[r.slot for r in ends.select("b", "c").mapInPandas(slots, "slot long").distinct().toLocalIterator()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(wanted))
+def bucket_keys(bands: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return key("t", bands, contexts)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = np.unpackbits(shared.value)
-        held: Counter = Counter()
 
-        def rows() -> pd.DataFrame:
-            out = []
-            for (y, z, a, b, c), n in held.items():
-                b, last = b.rstrip("\0"), c.rstrip("\0")
-                if keep[_slot(b, last)]:
-                    ended = c[-1] == "\0"
-                    y, z, a = (x.rstrip("\0") for x in (y, z, a))
-                    out.append((f"{y} {z}", a, b, last, 0 if ended else n, n if ended else 0))
-            held.clear()
-            return pd.DataFrame(out, columns=["z", "a", "b", "c", "mid", "term"])
+def ends_early(text: str, copy: str) -> bool | None:
+    """Whether ``text`` stops inside a word or sentence of a copy that holds its shingles; None if they can't be aligned or both stop at the same open word."""
+    mine, other = read(core(text)[0]), read(copy)
+    a, b = np.unique(shingle_hashes(mine)), np.unique(shingle_hashes(other))
+    if len(a) < 1 or np.isin(a, b).sum() < SIMILARITY * len(a):
+        return None
+    left, right = [w[0] for w in mine], [w[0] for w in other]
+    last, tail = left[-1], left[-SHINGLE:-1]
+    places = [k for k in range(len(right) - len(tail)) if right[k] == tail[0] and right[k : k + len(tail)] == tail]
+    if not places:
+        return None
+    at = min(places, key=lambda k: abs(k + len(tail) - len(left) + 1)) + len(tail)
+    if right[at] != last:
+        return True if right[at].startswith(last) else None
+    if at + 1 == len(right) and not other[at][3]:
+        return None
+    return not other[at][3]
 
-        for batch in batches:
-            for text in batch["text"]:
-                words = tokens(core(text)[0])
-                if words and not words[-1].endswith("\0"):
-                    words = words[:-1]
-                held.update(zip(["^", "^", "^", "^", *words], ["^", "^", "^", *words], ["^", "^", *words], ["^", *words], words))
-                if len(held) > HELD:
-                    yield rows()
-        if held:
-            yield rows()
 
-    part = texts.select("text").mapInPandas(count, "z string, a string, b string, c string, mid long, term long")
-    return part.groupBy("z", "a", "b", "c").agg(F.sum("mid").alias("mid"), F.sum("term").alias("term"), F.lit(0).cast("long").alias("fin"))
+class Filter:
+    """Which 64-bit keys may be among a set: two bits for each key in a table of fixed size."""
 
+    def __init__(self, keys: DataFrame):
+        """``keys`` has one column; its bits are set by an aggregate, so the driver gets at most the table."""
+        name = keys.columns[0]
+        slots = F.array(*(F.shiftrightunsigned(name, 32 * k).bitwiseAND(F.lit(BITS - 1)) for k in range(2)))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+        rows = keys.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+        self.bits, self.table = BITS, np.zeros(BITS // 64, dtype=np.uint64)
+        found = rows.toPandas()
+        self.table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
 
-def _sums(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in ("mid", "term", "fin")))
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(keys.shape, dtype=bool)
+        for k in range(2):
+            slot = (keys >> np.uint64(32 * k)) & np.uint64(self.bits - 1)
+            out &= (self.table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
-def _beginnings(df: DataFrame) -> DataFrame:
-    """One row for each proper beginning of the last word."""
-    each = F.transform(F.sequence(F.lit(1), F.length("c") - 1), lambda k: F.col("c").substr(F.lit(1), k))
-    return df.where("length(c) > 1").withColumn("c", F.explode(each))
+def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(h, text)``: each different text that isn't blank, once."""
+    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]"))
+    return rows.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"))
 
 
-def closing_scores(ends: DataFrame, counts: DataFrame, longs: DataFrame) -> DataFrame:
+class Counts:
+    """Counts, by key, of words that go on, end a sentence or line, or end a text; for closing words of some text alone."""
+
+    def __init__(self, closing: Filter):
+        self.closing, self.held, self.longer, self.size = closing, [], [], 0
+        self.words: dict[str, np.ndarray] = {}
+        self.begin: dict[str, np.ndarray] = {}
+
+    def _begun(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the proper beginnings of the words that close some text, one word after the other, and how many each has."""
+        out = []
+        for word in words:
+            known = self.begin.get(word)
+            if known is None:
+                known = np.array([xxhash.xxh64_intdigest(word[:k]) for k in range(1, len(word))], dtype=np.uint64)
+                known = known[self.closing.has(key("1", known))]
+                if len(self.begin) < 500_000:  # a cache only
+                    self.begin[word] = known
+            out.append(known)
+        return np.concatenate([*out, np.zeros(0, dtype=np.uint64)]), np.array([len(x) for x in out], dtype=np.int64)
+
+    def _hold(self, keys: np.ndarray, kind: np.ndarray) -> None:
+        self.held.append((keys, kind))
+        self.size += len(keys)
+
+    def add(self, texts: list[list[tuple[str, int, int, bool]]]) -> None:
+        """Counts the words of some texts, each with its context in its own text."""
+        numbers: dict[str, int] = {}
+        ids = np.array([numbers.setdefault(w[0], len(numbers)) for words in texts for w in words], dtype=np.int64)
+        if not len(ids):
+            return
+        # 0: the sentence goes on, 1: it ends, 2: the text ends.
+        kind = np.array([w[3] for words in texts for w in words], dtype=np.int8)
+        sizes = np.array([len(words) for words in texts])
+        n, place = len(ids), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = (np.cumsum(sizes) - 1)[sizes > 0]
+        kind[last] = np.where(kind[last] == 0, 2, kind[last])
+        for word, row in zip(numbers, np.bincount(ids * 3 + kind, minlength=3 * len(numbers)).reshape(-1, 3)):
+            known = self.words.get(word)
+            self.words[word] = row if known is None else known + row
+        names = list(numbers)
+        own = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
+        c = own[ids]
+        before = []
+        for back in range(1, 5):
+            moved = np.full(n, _START)
+            moved[back:] = c[:-back] if back < n else c[:0]
+            moved[place < back] = _START
+            before.append(moved)
+        b, a, z, y = before
+        pair = key("2", b, c)
+        some = self.closing.has(pair)
+        self._hold(pair[some], kind[some])
+        self._hold(key("3", a[some], b[some], c[some]), kind[some])
+        inside = some & (kind < 2)
+        self._hold(key("5", y[inside], z[inside], a[inside], b[inside], c[inside]), kind[inside])
+        # Words that begin as a closing word does, after the same word; each different pair of words once.
+        first = np.where(place == 0, len(names), np.roll(ids, 1))
+        pairs, times = np.unique(first[kind < 2] * len(names) + ids[kind < 2], return_counts=True)
+        flat, many = self._begun(names)
+        b, second = np.append(own, _START)[pairs // len(names)], pairs % len(names)
+        each = many[second]
+        at = np.repeat((np.cumsum(many) - many)[second] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        keys = np.repeat(b, each), flat[at]
+        some = self.closing.has(key("2", *keys))
+        self.longer.append((key("p", *keys)[some], np.repeat(times, each)[some]))
+        self.size += int(some.sum())
+
+    @property
+    def full(self) -> bool:
+        return self.size > HELD or len(self.words) > HELD
+
+    def sums(self) -> pd.DataFrame:
+        """``(k, mid, term, fin)`` of what is held, which is then let go; of words alone and of those that begin longer ones, too."""
+        kinds = np.array([self.words[w] for w in self.words], dtype=np.int64).reshape(-1, 3)
+        one = key("1", np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64))
+        begun, many = self._begun(list(self.words))
+        some = self.closing.has(one)
+        self.longer.append((key("q", begun), np.repeat(kinds[:, 0] + kinds[:, 1], many)))
+        weights = [np.eye(3, dtype=np.int64)[np.concatenate([x[1] for x in self.held])], kinds[some]]
+        times = np.concatenate([x[1] for x in self.longer])
+        weights = np.concatenate([*weights, np.column_stack([times, 0 * times, 0 * times])])
+        keys = np.concatenate([x[0] for x in self.held] + [one[some]] + [x[0] for x in self.longer])
+        keys, at = np.unique(keys, return_inverse=True)
+        self.held, self.longer, self.size, self.words = [], [], 0, {}
+        return pd.DataFrame({"k": keys.view(np.int64), **{name: np.bincount(at, weights[:, k], minlength=len(keys)).astype(np.int64) for k, name in enumerate(("mid", "term", "fin"))}})
+
+
+def closing_scores(ends: DataFrame, counts: DataFrame) -> DataFrame:
     """``ends`` with ``terminality``, the share of endings among what follows the closing words, and ``broken``.
 
     Four words of context are taken where they occur inside other texts, else two, one or none.
     If even with one word of context the last word never occurs, longer words that begin like it
     count as going on. ``broken`` is true if only such longer words are known. Null if nothing is known.
     """
-    key = lambda kind, *cols: F.concat_ws("\x1f", F.lit(kind), *cols)
-    two = stage(_sums(counts, "b", "c"), "counts2")
-    one = _sums(two, "c")
-    figures = [F.col(x) for x in ("mid", "term", "fin")]
-    more = F.sum(F.col("mid") + F.col("term")).alias("mid")
-    zero = F.lit(0).cast("long")
-    known = longs.select(key("5", "z", "a", "b", "c").alias("k"), *figures)
-    known = known.unionByName(counts.select(key("3", "a", "b", "c").alias("k"), *figures))
-    known = known.unionByName(two.select(key("2", "b", "c").alias("k"), *figures)).unionByName(one.select(key("1", "c").alias("k"), *figures))
-    known = known.unionByName(_beginnings(two).groupBy("b", "c").agg(more).select(key("p", "b", "c").alias("k"), "mid", zero.alias("term"), zero.alias("fin")))
-    known = known.unionByName(_beginnings(one).groupBy("c").agg(more).select(key("q", "c").alias("k"), "mid", zero.alias("term"), zero.alias("fin")))
-    keys = F.array(key("5", "z", "a", "b", "c"), key("3", "a", "b", "c"), key("2", "b", "c"), key("1", "c"), key("p", "b", "c"), key("q", "c"))
-    hits = ends.select("h", F.explode(keys).alias("k")).join(known, "k").withColumn("kind", F.substring("k", 1, 1))
+    hits = ends.select("h", F.explode("keys").alias("key")).select("h", "key.kind", "key.k").join(counts, "k")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, F.col(x)).otherwise(0)).alias(f"{x}{kind}")
     wide = hits.groupBy("h").agg(*(of(kind, x) for kind in "5321" for x in ("mid", "term", "fin")), of("p", "mid"), of("q", "mid"))
     wide = ends.join(wide, "h", "left")
@@ -313,44 +376,122 @@ def closing_scores(ends: DataFrame, counts: DataFrame, longs: DataFrame) -> Data
     others = lambda kind: F.col(f"fin{kind}") - 1
     alike = lambda kind, longer: F.when((others(kind) > 0) | (F.col(longer) > 0), others(kind) / (others(kind) + F.col(longer)))
     score = F.coalesce(share("5"), share("3"), F.when(others("3") > 0, alike("3", "midp")))
-    score = F.when(score.isNotNull(), score).when(F.col("c") != "#", F.coalesce(share("2"), alike("2", "midp"), share("1"), alike("1", "midq")))
+    score = F.when(score.isNotNull(), score).when(~F.col("named"), F.coalesce(share("2"), alike("2", "midp"), share("1"), alike("1", "midq")))
     broken = ((inside("2") == 0) & (F.col("midp") > others("2"))) | ((inside("1") == 0) & (F.col("midq") > others("1")))
-    return wide.select(*ends.columns, score.alias("terminality"), F.coalesce(broken & (F.col("c") != "#"), F.lit(False)).alias("broken"))
+    return wide.select(*ends.columns, score.alias("terminality"), F.coalesce(broken & ~F.col("named"), F.lit(False)).alias("broken"))
 
 
-def near_copies(prints: DataFrame) -> DataFrame:
+def near_copies(asked: DataFrame, given: DataFrame) -> DataFrame:
     """``(h, copy)``: each open-ended text with every other text that it shares a bucket with.
 
-    Left out are only pairs whose numbers of shingles ``n`` are too far apart for the similarity.
-    Buckets are joined in blocks, so that a step of the join holds about ``BLOCK`` texts of either side
-    whatever the size of the bucket.
+    ``asked`` and ``given`` are ``(h, key)``, the buckets of open-ended texts and of all texts. Buckets are
+    joined in blocks, so that a step of the join holds about ``BLOCK`` texts of either side whatever the size of the bucket.
     """
-    keys = prints.select("h", "n", "open", F.posexplode("bands").alias("band", "key"))
-    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.count_if("open").alias("o")).where("m > 1 and o > 0")
-    blocks = lambda x: F.ceil(F.col(x) / BLOCK)
-    rows = keys.join(sizes.select("band", "key", blocks("o").alias("os"), blocks("m").alias("ms")), ["band", "key"])
+    sides = asked.select("key", F.lit(1).alias("o"), F.lit(0).alias("m")).unionByName(given.select("key", F.lit(0).alias("o"), F.lit(1).alias("m")))
+    blocks = lambda x: F.ceil(F.sum(x) / BLOCK)
+    sizes = sides.groupBy("key").agg(blocks("o").alias("os"), blocks("m").alias("ms")).where("os > 0 and ms > 0")
     own = lambda parts: F.pmod(F.xxhash64("h"), F.col(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    ours = rows.where("open").select("band", "key", "h", "n", own("os").alias("i"), every("ms").alias("j"))
-    others = rows.select("band", "key", F.col("h").alias("copy"), F.col("n").alias("copy_n"), every("os").alias("i"), own("ms").alias("j"))
-    close = F.least("n", "copy_n") >= SIMILARITY * F.greatest("n", "copy_n")
-    return ours.join(others, ["band", "key", "i", "j"]).where((F.col("h") != F.col("copy")) & close).select("h", "copy").distinct()
+    ours = asked.join(sizes, "key").select("key", "h", own("os").alias("i"), every("ms").alias("j"))
+    others = given.join(sizes, "key").select("key", F.col("h").alias("copy"), every("os").alias("i"), own("ms").alias("j"))
+    return ours.join(others, ["key", "i", "j"]).where("h <> copy").select("h", "copy").distinct()
 
 
-def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(h, how)`` of each different text that is cut; how is json, copy or closing."""
-    texts = stage(different_texts(docs, text_col), "texts")
+_UNDECIDED = ("open", "line", "decimal")
+
+
+def _closings(texts: DataFrame) -> DataFrame:
+    """``(h, verdict, named, keys, bands, buckets)`` of texts that aren't whole: keys of the closing words, bands and buckets of open-ended ones."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for h, text in zip(batch["h"], batch["text"]):
+                verdict, closing = ending(text)
+                if verdict not in _UNDECIDED:
+                    if verdict != "whole":
+                        out.append((h, verdict, False, [], [], []))
+                    continue
+                ids = [_START] * (5 - len(closing)) + [np.uint64(w[1]) for w in closing]
+                words = [np.array([x], dtype=np.uint64) for x in ids]
+                keys = [(kind, int(key(kind, *words[-size:]).view(np.int64)[0])) for kind, size in (("5", 5), ("3", 3), ("2", 2), ("1", 1), ("p", 2), ("q", 1))]
+                whole = read(core(text)[0])
+                lengths = _lengths(len(whole))[-1:]
+                bands = band_keys(shingle_hashes(whole), lengths).ravel() if lengths else np.zeros(0, dtype=np.uint64)
+                buckets = bucket_keys(bands, np.repeat(context_keys(whole)[-2], len(bands))) if lengths else bands
+                # The second half meets texts whose own last word begins with this one.
+                buckets = np.concatenate([buckets, bucket_keys(buckets, np.full(len(buckets), np.uint64(whole[-1][1])))]) if lengths else bands
+                out.append((h, verdict, closing[-1][0] == "#", keys, bands.view(np.int64).tolist(), buckets.view(np.int64).tolist()))
+            yield pd.DataFrame(out, columns=["h", "verdict", "named", "keys", "bands", "buckets"])
+
+    return texts.mapInPandas(look, "h string, verdict string, named boolean, keys array<struct<kind: string, k: long>>, bands array<long>, buckets array<long>")
+
+
+def _given_buckets(words: list[tuple[str, int, int, bool]], bands: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """Buckets of a text: each of its bands that passed, with the words that stand about where that beginning ends.
+
+    The words before its own last one, if no sentence ends there, count only for texts that stop inside that last
+    word: two texts that stop at the same open word say nothing about each other.
+    """
+    contexts = context_keys(words)[:-1]
+    last = len(contexts) - (not words[-1][3])
+    begun = np.array([xxhash.xxh64_intdigest(words[-1][0][:k]) for k in range(1, len(words[-1][0]))], dtype=np.uint64)
+    out = []
+    for length, row, some in zip(_lengths(len(words)), bands, passed):
+        if some.any():
+            first, stop = max(0, int(AROUND[0] * length) - SHINGLE + 1), int(AROUND[1] * length)
+            near = contexts[first : min(stop, last)]
+            out.append(bucket_keys(np.repeat(row[some], len(near)), np.tile(near, int(some.sum()))))
+            if first <= last < min(stop, len(contexts)):
+                own = bucket_keys(row[some], np.repeat(contexts[last], int(some.sum())))
+                out.append(bucket_keys(np.repeat(own, len(begun)), np.tile(begun, len(own))))
+    return np.concatenate(out)
+
+
+def _read_whole(texts: DataFrame, closing: Filter, bands: Filter, buckets: Filter) -> DataFrame:
+    """One pass over whole texts: rows ``(k, mid, term, fin)`` of counts, and rows ``(k, h)`` of buckets that some open-ended text has."""
+    shared = texts.sparkSession.sparkContext.broadcast((closing, bands, buckets))
+
+    def given(names: pd.Series, held: list) -> pd.DataFrame:
+        long = [(h, words) for h, words in zip(names, held) if len(words) >= FIRST]
+        found = [band_keys(shingle_hashes(words[: _lengths(len(words))[-1]]), _lengths(len(words))) for _, words in long]
+        ends = np.cumsum([x.size for x in found])
+        out, owners = [np.zeros(0, dtype=np.uint64)], []
+        passed = np.split(shared.value[1].has(np.concatenate([x.ravel() for x in found])), ends[:-1]) if found else []
+        for (h, words), own, some in zip(long, found, passed):
+            if some.any():
+                keys = _given_buckets(words, own, some.reshape(own.shape))
+                keys = np.unique(keys[shared.value[2].has(keys)])
+                out.append(keys)
+                owners += [h] * len(keys)
+        return pd.DataFrame({"k": np.concatenate(out).view(np.int64), "mid": 0, "term": 0, "fin": 0, "h": pd.Series(owners, dtype=object)})
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts(shared.value[0])
         for batch in batches:
-            ends = [ending(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "h": batch["h"], "n": [len(shingle_hashes(t)) for t in batch["text"]], "verdict": [e[0] for e in ends], "open": [e[0] == "open" for e in ends],
-                "z": [e[1] for e in ends], "a": [e[2] for e in ends], "b": [e[3] for e in ends], "c": [e[4] for e in ends], "bands": [band_keys(t) for t in batch["text"]]})
-
-    prints = stage(texts.mapInPandas(look, "h string, n long, verdict string, open boolean, z string, a string, b string, c string, bands array<long>"), "prints")
-    counts = stage(word_counts(texts), "counts")
-    links = near_copies(prints)
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                held = [read(core(text)[0]) for text in part["text"]]
+                counts.add(held)
+                if counts.full:
+                    yield counts.sums().assign(h=None)
+                yield given(part["h"], held)
+        if counts.words:
+            yield counts.sums().assign(h=None)
+
+    return texts.mapInPandas(look, "k long, mid long, term long, fin long, h string")
+
+
+def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(h, how)`` of each different text that is cut; how is json, mark, copy or closing."""
+    texts = stage(different_texts(docs, text_col), "texts")
+    ends = stage(_closings(texts), "closings")
+    undecided = ends.where(F.col("verdict").isin(*_UNDECIDED))
+    closing = Filter(undecided.select(F.explode(F.transform(F.filter("keys", lambda x: x["kind"].isin("2", "1")), lambda x: x["k"]))))
+    asked = undecided.select("h", F.explode("buckets").alias("key"))
+    whole = stage(_read_whole(texts, closing, Filter(undecided.select(F.explode("bands"))), Filter(asked.select("key"))), "counts")
+    counts = whole.where("h is null").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("mid", "term", "fin")))
+    links = near_copies(asked, whole.where("h is not null").select("h", F.col("k").alias("key")))
     pairs = links.join(texts, "h").join(texts.select(F.col("h").alias("copy"), F.col("text").alias("other")), "copy")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,12 +499,11 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
             yield pd.DataFrame({"h": batch["h"], "early": pd.Series([ends_early(a, b) for a, b in zip(batch["text"], batch["other"])], dtype="boolean")})
 
     aligned = pairs.select("h", "text", "other").mapInPandas(align, "h string, early boolean").where("early is not null").groupBy("h").agg(F.max("early").alias("early"))
-    ends = prints.where("verdict in ('open', 'line', 'decimal')").select("h", "verdict", "z", "a", "b", "c")
-    scored = closing_scores(ends, counts, long_counts(texts, ends)).join(aligned, "h", "left")
+    scored = closing_scores(undecided.select("h", "verdict", "named", "keys"), counts).join(aligned, "h", "left")
     limit = F.when(F.col("verdict") == "decimal", F.lit(TERMINALITY / 2)).otherwise(F.lit(TERMINALITY))
-    closing = F.when(F.col("verdict") == "line", F.col("broken")).otherwise(F.col("terminality") < limit)
-    cut = scored.select("h", F.when(F.col("early"), "copy").when(F.col("early").isNull() & closing, "closing").alias("how")).where("how is not null")
-    return cut.unionByName(prints.where("verdict = 'cut'").select("h", F.lit("json").alias("how")))
+    words = F.when(F.col("verdict") == "line", F.col("broken")).otherwise(F.col("terminality") < limit)
+    cut = scored.select("h", F.when(F.col("early"), "copy").when(F.col("early").isNull() & words, "closing").alias("how")).where("how is not null")
+    return cut.unionByName(ends.where(~F.col("verdict").isin(*_UNDECIDED)).select("h", F.col("verdict").alias("how")))
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

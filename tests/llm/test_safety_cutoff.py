@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import xxhash
+
 from millrace.llm import cutoff, safety
 
 
@@ -56,7 +59,8 @@ def test_scores_held_against_thresholds(spark):
 
 
 def test_endings():
-    assert cutoff.ending('{"a": [1, 2], "b": "x')[0] == "cut" and cutoff.ending('{"a": [1, "]"]}')[0] == "whole"
+    assert cutoff.ending('{"a": [1, 2], "b": "x')[0] == "json" and cutoff.ending('{"a": [1, "]"]}')[0] == "whole"
+    assert cutoff.ending("We read the rows and the tables,")[0] == "mark" and cutoff.ending("x = f(a,")[0] == "whole"
     assert cutoff.ending("It ended well.")[0] == "whole" and cutoff.ending("A short title")[0] == "whole"
     assert cutoff.ending("�...")[0] == "whole" and cutoff.ending("")[0] == "whole"
     assert cutoff.core("one two [...]") == ("one two", True) and cutoff.core("one two�") == ("one two", True)
@@ -84,19 +88,58 @@ def test_cut_documents(spark):
     assert cutoff.cut_documents(docs.limit(0)).count() == 0
 
 
-def test_band_keys_find_similar_texts():
-    words = [f"w{k}" for k in range(300)]
+def test_band_keys_find_similar_beginnings():
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
     other = words[:100] + ["new"] + words[101:]
-    a, b = cutoff.band_keys(" ".join(words)), cutoff.band_keys(" ".join(other))
-    assert any(x == y for x, y in zip(a, b)) and len(a) == cutoff.BANDS and cutoff.band_keys("four words are few") == []
+    keys = lambda ws: cutoff.band_keys(cutoff.shingle_hashes(cutoff.read(" ".join(ws))), cutoff._lengths(len(ws)))
+    a, b, half = keys(words), keys(other), keys(words[:150])
+    assert a.shape == (len(cutoff._lengths(300)), cutoff.BANDS) and (a == b).any(axis=1).all()
+    assert (a[: len(half)] == half).all() and cutoff._lengths(11) == [] and len(set(a[:, 0].tolist())) == len(a)
+    long = [f"w{k % 977}x{k // 977}" for k in range(20_000)]
+    assert (keys(long)[:3] == keys(long[:20])).all()
 
 
 def test_every_text_of_a_bucket_is_a_candidate(spark, monkeypatch):
-    rows = [("a", 10, True, [1, 5]), ("b", 11, False, [1, 6]), ("c", 100, False, [1, 5]), ("d", 12, False, [2, 5]), ("e", 9, True, [3, 7])]
-    prints = spark.createDataFrame([(h, n * 6, n, o, bands) for h, n, o, bands in rows], "h string, size long, n long, open boolean, bands array<long>")
-    for block in (2, 2_000):
-        monkeypatch.setattr(cutoff, "BLOCK", block, raising=False)
-        assert {tuple(r) for r in cutoff.near_copies(prints).collect()} == {("a", "b"), ("a", "d")}
+    asked = spark.createDataFrame([("a", 1), ("a", 5), ("e", 3), ("e", 1)], "h string, key long")
+    given = spark.createDataFrame([("a", 1), ("b", 1), ("c", 5), ("d", 6), ("b", 5), ("f", 1), ("e", 1)], "h string, key long")
+    for block in (1, 2_000):
+        monkeypatch.setattr(cutoff, "BLOCK", block)
+        assert sorted(tuple(r) for r in cutoff.near_copies(asked, given).collect()) == [("a", "b"), ("a", "c"), ("a", "e"), ("a", "f"), ("e", "a"), ("e", "b"), ("e", "f")]
+
+
+def test_planted_copies_are_found_however_much_is_gone(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
+    whole = [". ".join(" ".join(word() for _ in range(14)) for _ in range(9)) + "." for _ in range(60)]
+    cut = []
+    for k, text in enumerate(whole[:40]):
+        words = text.split()
+        size = int(len(words) * (0.2, 0.5, 0.75, 0.95)[k % 4])
+        size -= words[size - 1].endswith(".")
+        if k >= 20:  # a word of the beginning differs
+            words[size // 3] = "changed"
+        cut.append(" ".join(words[:size]))
+    docs = spark.createDataFrame(list(enumerate(whole + cut)), "doc_id long, text string")
+    got = {r.doc_id: r.how for r in cutoff.cut_documents(docs).collect()}
+    found = [k for k in range(60, 100) if got.get(k) == "copy"]
+    # Of 25 words with another one among them, less than the similarity is left.
+    assert found == [60 + k for k in range(40) if k < 20 or k % 4] and not set(got) & set(range(60))
+
+
+def test_counts_are_the_brute_force(spark):
+    class All:
+        def has(self, keys):
+            return np.ones(keys.shape, dtype=bool)
+
+    texts = [cutoff.read(t) for t in ("the cat. the cats sat", "a cat sat on the cat", "")]
+    counts = cutoff.Counts(All())
+    counts.add(texts[:1])
+    counts.add(texts[1:])
+    got = {r.k: (r.mid, r.term, r.fin) for r in counts.sums().itertuples()}
+    of = lambda kind, *ws: int(cutoff.key(kind, *(np.array([cutoff._START if w == "^" else xxhash.xxh64_intdigest(w)], dtype=np.uint64) for w in ws)).view(np.int64)[0])
+    assert got[of("1", "cat")] == (1, 1, 1) and got[of("2", "the", "cat")] == (0, 1, 1) and got[of("3", "^", "the", "cat")] == (0, 1, 0)
+    assert got[of("5", "^", "^", "^", "^", "a")] == (1, 0, 0) and got[of("p", "the", "ca")] == (2, 0, 0) and got[of("q", "ca")] == (3, 0, 0)
+    assert got[of("p", "the", "cat")] == (1, 0, 0) and of("p", "cat", "s") in got and not counts.words
 
 
 def test_copies_that_stop_at_the_same_word_decide_nothing():
