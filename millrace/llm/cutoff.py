@@ -48,12 +48,13 @@ TITLE = 60
 #: Texts of a bucket that meet in one step of the join.
 BLOCK = 2_000
 #: Counts a task holds before it adds them up.
-HELD = 1_000_000
+HELD = 3_000_000
 #: Bits of a filter; more open-ended texts only let more pass.
 BITS = 1 << 26
 
 # Signs put after a cut.
-_OMISSION = re.compile(r"(?:\s|[\x00-\x08\x0b-\x1f\x7f-\x9f�​﻿]|\.\.\.+|…|[\[(<{]\s*(?:\.\.\.+|…|more|cont(?:inued|\.)?|truncated|cut|snip|suite|mehr|más|weiter|gekürzt|continúa|tronqué|read more)\s*[\])>}]|\b(?:read more|see more|weiterlesen|lire la suite|leer más)\b)+$", re.I)
+_INVITES = ("read more", "see more", "weiterlesen", "lire la suite", "leer más")
+_OMISSION = re.compile(r"(?:\s|[\x00-\x08\x0b-\x1f\x7f-\x9f�​﻿]|\.\.\.+|…|[\[(<{]\s*(?:\.\.\.+|…|more|cont(?:inued|\.)?|truncated|cut|snip|suite|mehr|más|weiter|gekürzt|continúa|tronqué|read more)\s*[\])>}]|\b(?:" + "|".join(_INVITES) + r")\b)+$", re.I)
 _BROKEN = re.compile(r"�|\.\.\.|…|[\[(<{]\s*\w*\s*[\])>}]$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: Words and numbers, each with the end of the sentence or line after it.
@@ -64,6 +65,9 @@ _LAST = re.compile(r"[^\W_][\w]*$")
 
 def core(text: str) -> tuple[str, bool]:
     """The text without outer space and signs of omission, and whether there was such a sign."""
+    end = text[-1:]
+    if end.isalnum() and not text[-20:].lower().endswith(_INVITES) or end in ("!", "?", '"', "'") or end == "." and text[-2:] != "..":
+        return text, False
     width = 160
     while True:
         found = _OMISSION.search(text[-width:])
@@ -146,8 +150,8 @@ def ending(text: str) -> tuple[str, list[tuple[str, int, int, bool]]]:
     if end in ",;([{":
         # A sentence can't end in these; lines of code, tables and formulas can.
         return ("mark" if re.search(r"[^\W\d_]{2,} [^\W\d_]+[,;(]$", body[-80:]) else "whole"), []
-    decimal = end == "." and re.search(r"(?<![\w.])\d{1,2}\.$", body) is not None
-    if not decimal and not _LAST.search(body[-400:]):
+    decimal = end == "." and re.search(r"(?<![\w.])\d{1,2}\.$", body[-8:]) is not None
+    if not decimal and not (end.isalnum() or end == "_" and _LAST.search(body[-400:])):
         return "whole", []
     words = read(body[-400:])
     if len(body) > 400:
@@ -255,7 +259,7 @@ class Filter:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
         rows = keys.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
         self.bits, self.table = BITS, np.zeros(BITS // 64, dtype=np.uint64)
-        found = rows.toPandas()
+        found = rows.toArrow()
         self.table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,10 +156,9 @@ def item_tokens(items: DataFrame) -> DataFrame:
 class SeedFilter:
     """A Bloom filter of seed hashes; its size doesn't depend on the items."""
 
-    def __init__(self, rows: list[tuple[int, int]], widths: list[int]):
+    def __init__(self, rows: pa.Table, widths: list[int]):
         table = np.zeros(BITS // 64, dtype=np.uint64)
-        for at, bits in rows:
-            table[at] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+        table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
         self.table, self.widths, self.bits = table, widths, BITS
 
     @staticmethod
@@ -184,7 +184,7 @@ def seed_filter(tokens: DataFrame) -> SeedFilter:
     slots = tokens.select(F.explode("seeds").alias("s")).select(F.explode(SeedFilter.slots(F.col("s"))).alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
     rows = slots.select(F.shiftright("slot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    return SeedFilter([(r["at"], r["bits"]) for r in rows.collect()], widths)
+    return SeedFilter(rows.toArrow(), widths)
 
 
 def _least_seeds(n: F.Column) -> F.Column:
