@@ -112,61 +112,101 @@ def color_histogram(tasks: DataFrame) -> DataFrame:
     return every.join(cells, "color", "left").select("color", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def _settings(kind: str, **axes) -> list[dict]:
+    return [{"kind": kind, **dict(zip(axes, values))} for values in product(*axes.values())]
+
+
 def parameter_grid() -> list[dict]:
-    """Every family with every setting of its parameters."""
-    make = lambda kind, **axes: [{"kind": kind, **dict(zip(axes, v))} for v in product(*axes.values())]
-    side = range(-3, 4)
-    out = make("translate", dx=side, dy=side, background=range(COLORS))
-    out += [s for s in make("recolor", source=range(COLORS), target=range(COLORS)) if s["source"] != s["target"]]
-    out += make("crop", background=range(COLORS))
-    out += make("tile", rows=range(1, 5), cols=range(1, 5))
-    out += make("gravity", direction=["up", "down", "left", "right"], background=range(COLORS))
-    out += make("mirror", symmetry=SYMMETRIES)
-    out += make("scale", factor=[2, 3])
-    out += make("border", width=[1, 2], color=range(COLORS))
-    return out
+    """Every family with every setting of its parameters; the first parameter named changes slowest."""
+    # Families, names of their parameters and ranges, in this order.
+    out = [{"kind": s["kind"], "dx": s["dx"], "dy": s["dy"], "bg": s["bg"]} for s in _settings("translate", bg=range(COLORS), dx=range(-3, 4), dy=range(-3, 4))]
+    out += [s for s in _settings("recolor", src=range(COLORS), dst=range(COLORS)) if s["src"] != s["dst"]]
+    out += _settings("crop", bg=range(COLORS))
+    out += _settings("tile", nx=range(1, 5), ny=range(1, 5))
+    out += _settings("gravity", bg=range(COLORS), dir=range(4))
+    out += _settings("mirror", dihedral=range(len(SYMMETRIES)))
+    out += _settings("scale", factor=[2, 3])
+    return out + _settings("border", color=range(COLORS), width=[1, 2])
+
+
+def family_id(spec: dict) -> str:
+    """The kind and the settings in the order of their names."""
+    return spec["kind"] + ":" + ",".join(sorted(f"{k}={v}" for k, v in spec.items() if k != "kind"))
+
+
+_RANGES = {
+    "translate": {"dx": range(-(1 << 31), 1 << 31), "dy": range(-(1 << 31), 1 << 31), "bg": range(COLORS)}, "recolor": {"src": range(COLORS), "dst": range(COLORS)}, "crop": {"bg": range(COLORS)},
+    "tile": {"nx": range(1, MAX_SIDE + 1), "ny": range(1, MAX_SIDE + 1)}, "gravity": {"dir": range(4), "bg": range(COLORS)}, "mirror": {"dihedral": range(len(SYMMETRIES))},
+    "scale": {"factor": range(2, 4)}, "border": {"color": range(COLORS), "width": range(1, 3)},
+}
+
+
+def check_family(spec: dict) -> None:
+    """Raises unless the family is known and has exactly its parameters, each in its range."""
+    allowed = _RANGES.get(spec.get("kind"))
+    if allowed is None or set(spec) - {"kind"} != set(allowed) or any(spec[k] not in r for k, r in allowed.items()) or (spec["kind"] == "recolor" and spec["src"] == spec["dst"]):
+        raise ValueError(f"no such family: {spec}")
+
+
+def _turned(g: list[list[int]], name: str) -> list[list[int]]:
+    """One of the eight symmetries of a list of rows, as ``symmetry`` of a Column."""
+    down = [list(r) for r in zip(*g)]
+    mirrored = {"identity": (g, 1, 1), "rot90": (down, 1, -1), "rot180": (g, -1, -1), "rot270": (down, -1, 1), "flip_h": (g, 1, -1), "flip_v": (g, -1, 1), "transpose": (down, 1, 1), "anti_transpose": (down, -1, -1)}
+    rows, up, back = mirrored[name]
+    return [r[::back] for r in rows[::up]]
 
 
 def apply_family(spec: dict, g: list[list[int]]) -> list[list[int]]:
     """The output of a family for one input grid."""
+    check_family(spec)
     kind, h, w = spec["kind"], len(g), len(g[0])
     if kind == "translate":
         return [[g[(r - spec["dy"]) % h][(c - spec["dx"]) % w] for c in range(w)] for r in range(h)]
     if kind == "recolor":
-        return [[spec["target"] if c == spec["source"] else c for c in row] for row in g]
+        return [[spec["dst"] if c == spec["src"] else c for c in row] for row in g]
     if kind == "crop":
-        kept = [(r, c) for r in range(h) for c in range(w) if g[r][c] != spec["background"]]
+        kept = [(r, c) for r in range(h) for c in range(w) if g[r][c] != spec["bg"]]
         if not kept:
-            return [[spec["background"]]]
+            return [[spec["bg"]]]
         rows, cols = [r for r, _ in kept], [c for _, c in kept]
         return [row[min(cols) : max(cols) + 1] for row in g[min(rows) : max(rows) + 1]]
     if kind == "tile":
-        return [row * spec["cols"] for _ in range(spec["rows"]) for row in g]
+        return [row * spec["nx"] for _ in range(spec["ny"]) for row in g]
     if kind == "gravity":
-        b, where = spec["background"], spec["direction"]
-        lines = [list(x) for x in zip(*g)] if where in ("up", "down") else g
-        fall = lambda x: [c for c in x if c != b] + [b] * x.count(b)
-        out = [fall(x) if where in ("up", "left") else fall(x[::-1])[::-1] for x in lines]
-        return [list(x) for x in zip(*out)] if where in ("up", "down") else out
+        # 0 is down, 1 up, 2 left, 3 right. What falls up or left comes first.
+        lines = [list(x) for x in zip(*g)] if spec["dir"] < 2 else g
+        first = spec["dir"] in (1, 2)
+        solid = [[c for c in x if c != spec["bg"]] for x in lines]
+        fallen = [x + [spec["bg"]] * (len(lines[0]) - len(x)) if first else [spec["bg"]] * (len(lines[0]) - len(x)) + x for x in solid]
+        return [list(x) for x in zip(*fallen)] if spec["dir"] < 2 else fallen
     if kind == "mirror":
-        turn = lambda x: [list(r) for r in zip(*x)]
-        back = lambda x: [r[::-1] for r in x]
-        return {"identity": lambda: g, "rot90": lambda: turn(g[::-1]), "rot180": lambda: back(g[::-1]), "rot270": lambda: turn(g)[::-1], "flip_h": lambda: back(g), "flip_v": lambda: g[::-1], "transpose": lambda: turn(g), "anti_transpose": lambda: back(turn(g)[::-1])}[spec["symmetry"]]()
+        return _turned(g, SYMMETRIES[spec["dihedral"]])
     if kind == "scale":
         k = spec["factor"]
         return [[c for c in row for _ in range(k)] for row in g for _ in range(k)]
-    if kind == "border":
-        k, c = spec["width"], spec["color"]
-        wide = w + 2 * k
-        return [[c] * wide] * k + [[c] * k + row + [c] * k for row in g] + [[c] * wide] * k
-    raise ValueError(f"unknown family {kind}")
+    k, c = spec["width"], spec["color"]
+    edge = [[c] * (w + 2 * k) for _ in range(k)]
+    return edge + [[c] * k + row + [c] * k for row in g] + edge
+
+
+def _most(spec: dict) -> tuple[int, int]:
+    """Sides up to which an input is made: its output must be a grid, too."""
+    if spec["kind"] == "tile":
+        sides = MAX_SIDE // spec["ny"], MAX_SIDE // spec["nx"]
+    else:
+        both = MAX_SIDE // spec["factor"] if spec["kind"] == "scale" else MAX_SIDE - 2 * spec["width"] if spec["kind"] == "border" else MAX_SIDE
+        sides = both, both
+    return min(sides[0], MAX_MADE), min(sides[1], MAX_MADE)
 
 
 def make_task(spec: dict, seed: int, n_train: int = 3) -> list[tuple[list, list]]:
     """Different pairs of a family; the last one is the test. Raises if they aren't found in 10,000 draws."""
-    draw, pairs, seen = SplitMix(seed), [], set()
+    check_family(spec)
+    if n_train < 1:
+        raise ValueError("a task needs a pair to learn from")
+    draw, pairs, seen, (rows, cols) = SplitMix(seed), [], set(), _most(spec)
     for _ in range(10_000):
-        h, w = draw.next() % MAX_MADE + 1, draw.next() % MAX_MADE + 1
+        h, w = draw.next() % rows + 1, draw.next() % cols + 1
         g = [[draw.next() % COLORS for _ in range(w)] for _ in range(h)]
         if str(g) not in seen:
             seen.add(str(g))
@@ -179,8 +219,8 @@ def make_task(spec: dict, seed: int, n_train: int = 3) -> list[tuple[list, list]
 def sample_specs(n: int, seed: int) -> list[dict]:
     """The first n of the whole grid of parameters after a forward exchange; more than there are raise."""
     specs = parameter_grid()
-    if n > len(specs):
-        raise ValueError("there aren't so many settings")
+    if not 0 < n <= len(specs):
+        raise ValueError(f"not a number of settings: {n}")
     draw = SplitMix(seed)
     for k in range(min(n, len(specs) - 1)):
         other = k + draw.next() % (len(specs) - k)
@@ -197,8 +237,7 @@ def procedural_tasks(spark: SparkSession, specs: list[dict], n: int, seed: int,
             out = []
             for t in batch["id"].tolist():
                 spec = specs[t % len(specs)]
-                family = spec["kind"] + ":" + ",".join(sorted(f"{k}={v}" for k, v in spec.items() if k != "kind"))
-                out += [(t, k, family, i, o) for k, (i, o) in enumerate(make_task(spec, seed + t, n_train))]
+                out += [(t, k, family_id(spec), i, o) for k, (i, o) in enumerate(make_task(spec, seed + t, n_train))]
             yield pd.DataFrame(out, columns=["task", "pair", "family", "input", "output"])
 
     return spark.range(n).mapInPandas(run, f"task long, pair int, family string, input {grid}, output {grid}")

@@ -321,11 +321,17 @@ def tokens_seen(spark, d):
     return rows.select("source", mixture.tokens_seen(F.col("unique_tokens"), F.col("epochs_max")).alias("tokens"))
 
 
-@register()
+_SHOWN = "replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(0), '')"
+
+
+@register(f"""WITH {q.DOCS}, x AS (SELECT id, source, {_SHOWN} AS t, text FROM docs WHERE source IS NOT NULL)
+SELECT id || '.html' AS path, 'html' AS format, source || chr(10) || t || CASE WHEN t = '' OR t[-1] = chr(10) THEN '' ELSE chr(10) END AS text,
+CAST(74 + octet_length(encode(source)) + octet_length(encode(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) AS BIGINT) AS bytes_in, CAST(NULL AS VARCHAR) AS error FROM x
+UNION ALL SELECT id || '.html', 'html', NULL, NULL, 'empty' FROM docs WHERE source IS NULL""")
 def html_text(spark, d):
     page = F.concat(F.lit("<html><head><style>p {}</style></head><body><h1>"), "source", F.lit("</h1><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))
     blobs = docs(spark, d).select(F.concat("id", F.lit(".html")).alias("path"), F.encode(page, "UTF-8").alias("content"), F.lit(None).cast("string").alias("media_type"))
-    return extract.extract(blobs).select("path", "format", "content_hash", "bytes_in", "error")
+    return extract.extract(blobs).select("path", "format", "text", "bytes_in", "error")
 
 
 @register(f"WITH {q.DOCS} SELECT doc_id, sha256(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g')) AS h FROM docs")

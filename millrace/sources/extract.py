@@ -15,8 +15,22 @@ from ..functions.text import strip_latex_comments
 
 # Tags whose text isn't shown, and tags that begin and end lines.
 HIDDEN = {"script", "style", "noscript", "template"}
-BLOCKS = set("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
-VOID = {"br", "hr"}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul",
+}
+# Fixed values of the HTML standard: tags without content, tags that end a paragraph, tags that are taken out alone
+# when they are closed out of order, tags of a head, tags that the parts of a table end, and tags beyond which nothing is closed.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ENDS_PARAGRAPH = HEADINGS | {
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+}
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
+HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+CELLS, ROW_GROUPS = {"td", "th"}, {"tbody", "thead", "tfoot"}
+SCOPE = {"applet", "caption", "html", "marquee", "object", "table", "td", "template", "th"}
 # Media types, endings and mirrors.
 MEDIA = {"text/html": "html", "application/xhtml+xml": "html", "application/pdf": "pdf", "application/x-latex": "latex", "application/x-tex": "latex", "text/x-latex": "latex", "text/x-tex": "latex"}
 ENDINGS = {"html": "html", "htm": "html", "xhtml": "html", "pdf": "pdf", "tex": "latex", "latex": "latex"}
@@ -40,44 +54,152 @@ def from_mirror(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("HOST")).isin(MIRRORS), F.lit(False))
 
 
+class _Node:
+    """An element with its children: strings and elements."""
+
+    __slots__ = ("name", "children", "parent")
+
+    def __init__(self, name: str, parent: _Node | None = None):
+        self.name, self.children, self.parent = name, [], parent
+
+
 class _Page(HTMLParser):
+    """The tree of a page as the HTML standard builds it: left-out tags are put in, tags that close nothing are ignored."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden: list[str] = []
-
-    def _line(self):
-        if self.out and not self.out[-1].endswith("\n"):
-            self.out.append("\n")
+        self.root = _Node("html")
+        self.open = [self.root]
+        self.head = self.body = False
+
+    def _push(self, name: str) -> None:
+        node = _Node(name, self.open[-1])
+        self.open[-1].children.append(node)
+        self.open.append(node)
+
+    def _in_scope(self, names: set[str], bounds: set[str] = SCOPE) -> bool:
+        for node in reversed(self.open):
+            if node.name in names:
+                return True
+            if node.name in bounds:
+                return False
+        return False
+
+    def _close(self, names: set[str]) -> None:
+        while self.open.pop().name not in names:
+            pass
+
+    def _enter_body(self) -> None:
+        if not self.body:
+            self.head = self.body = True
+            self.open = [self.root]
+            self._push("body")
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden.append(tag)
-        elif not self.hidden and tag in BLOCKS:
-            self._line()
+        if tag in ("html", "body", "head"):
+            if tag == "body":
+                self._enter_body()
+            elif tag == "head" and not self.head:
+                self.head = True
+                self._push("head")
+            return
+        if not self.body:
+            if tag in HEAD:
+                if not self.head:
+                    self.head = True
+                    self._push("head")
+                self._push(tag)
+                if tag in VOID:
+                    self.open.pop()
+                return
+            self._enter_body()
+        if tag in ENDS_PARAGRAPH and self._in_scope({"p"}, SCOPE | {"button"}):
+            self._close({"p"})
+        if tag in HEADINGS and self.open[-1].name in HEADINGS:
+            self.open.pop()
+        elif tag == "li" and self._in_scope({"li"}, SCOPE | {"ol", "ul"}):
+            self._close({"li"})
+        elif tag in ("dd", "dt") and self._in_scope({"dd", "dt"}, SCOPE | {"dl"}):
+            self._close({"dd", "dt"})
+        elif tag in ("option", "optgroup") and self.open[-1].name == "option":
+            self.open.pop()
+        elif tag in CELLS | ROW_GROUPS | {"tr"}:
+            if not self._in_scope({"table"}, {"html", "template"}):
+                return
+            ended = CELLS if tag in CELLS else CELLS | {"tr"} if tag == "tr" else CELLS | {"tr"} | ROW_GROUPS
+            while self._in_scope(ended, {"html", "table", "template"}):
+                self._close(ended)
+            if tag not in ROW_GROUPS and self.open[-1].name == "table":
+                self._push("tbody")
+            if tag in CELLS and self.open[-1].name in ROW_GROUPS:
+                self._push("tr")
+        self._push(tag)
+        if tag in VOID:
+            self.open.pop()
 
     def handle_startendtag(self, tag, attrs):
-        if not self.hidden and tag in BLOCKS:
-            self._line()
+        # The slash says nothing in HTML.
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
-        elif tag in BLOCKS:
-            self._line()
+        if tag == "br":
+            self.handle_starttag("br", [])
+        elif tag == "head" and not self.body and self.open[-1].name == "head":
+            self.open.pop()
+        elif tag in ("html", "body", "head") or tag in VOID:
+            return
+        elif tag == "p" and not self._in_scope({"p"}, SCOPE | {"button"}):
+            self._enter_body()
+            self._push("p")
+            self.open.pop()
+        elif tag in HEADINGS:
+            if self._in_scope(HEADINGS):
+                self._close(HEADINGS)
+        elif tag in FORMATTING:
+            at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].name == tag), 0)
+            if at and any(n.name in ENDS_PARAGRAPH | SCOPE for n in self.open[at + 1 :]):
+                del self.open[at]  # blocks that began inside go on without it
+            elif at:
+                del self.open[at:]
+        elif self._in_scope({tag}, SCOPE - {tag} if tag not in {"table", "tr"} | ROW_GROUPS else {"html", "template"}):
+            self._close({tag})
 
     def handle_data(self, data):
-        if data and not self.hidden:
-            self.out.append(data)
+        data = data.replace("\0", "")
+        if not self.body and self.open[-1].name in ("html", "head"):
+            blank = not data.strip(" \t\n\f\r")
+            if blank and not self.head:
+                return
+            if not blank:
+                self._enter_body()
+        here = self.open[-1]
+        if here.name in ROW_GROUPS | {"table", "tr"} and data.strip(" \t\n\f\r"):
+            table = next(n for n in reversed(self.open) if n.name == "table")
+            table.parent.children.insert(table.parent.children.index(table), data)  # text can't stand between cells
+        else:
+            if here.name == "pre" and not here.children and data[:1] == "\n":
+                data = data[1:]
+            here.children.append(data)
 
 
 def html_text(content: bytes) -> str:
-    """Shown text with a line break before and after each block; what isn't UTF-8 raises."""
+    """Shown text with a line break before and after each block, if there is text before it; what isn't UTF-8 raises."""
     page = _Page()
-    page.feed(content.decode("utf-8"))
+    page.feed(content.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"))
     page.close()
-    return "".join(page.out)
+    out: list[str] = []
+    waiting: list[_Node | str | None] = [page.root]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            if node:
+                out.append(node)
+        elif node is None or node.name in BLOCKS:
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
+        if isinstance(node, _Node) and node.name not in HIDDEN:
+            waiting += ([None] if node.name in BLOCKS else []) + node.children[::-1]
+    return "".join(out)
 
 
 def latex_text(content: bytes) -> str:

@@ -52,7 +52,15 @@ def test_ledger(spark):
 
 def test_extractors(spark):
     page = b"<html><head><title>T</title><style>x{}</style></head><body><h1>A &amp; B</h1><!-- c --><p>one <b>two</b><p>$x^2$<script>'</p>'</script></body></html>"
-    assert extract.html_text(page) == "T\nA & B\none two\n$x^2$\n"[: len(extract.html_text(page))]
+    assert extract.html_text(page) == "T\nA & B\none two\n$x^2$\n"
+    for shown, wanted in (
+        ("<p>a<b>b</b>c</p>", "abc\n"), ("<div>a<p>b</div>c", "a\nb\nc"), ("x</div>y</p>z", "xy\nz"), ("<table><tr><td>a<td>b<tr><td>c</table>d", "ab\nc\nd"),
+        ("<table><tr><td><p>a</td><td>b</td></tr></table>", "a\nb\n"), ("<table>out<tr><td>in</table>", "out\nin\n"), ("<ul><li>a<li>b</ul>c", "a\nb\nc"),
+        ("<html>\n<head>\n<title>t</title></head>\n<body>x</body>\n</html>", "\nt\nx\n"), ("<b><p>a</b>b</p>c", "ab\nc"), ("<noscript>n</noscript>a<br>b<hr/>c", "a\nb\nc"),
+        ("<pre>\n a\r\n b</pre>", " a\n b\n"), ("<dl><dt>a<dd>b</dl>", "a\nb\n"), ("<p>a<center>b</center>", "a\nb"), ("<html></html>", ""), ("<p>a &lt; b &amp; c", "a < b & c\n"),
+        ("<div>" * 3000 + "deep", "deep\n"),
+    ):
+        assert extract.html_text(shown.encode()) == wanted, shown
     stream = zlib.compress(b"BT /F1 12 Tf (Hello) Tj 0 -14 Td [(PD) 20 (F)] TJ ET")
     pdf = b"%%PDF-1.4\n1 0 obj <</Type /Pages /Kids [2 0 R] /Count 1>> endobj\n2 0 obj <</Type /Page /Contents 3 0 R>> endobj\n3 0 obj <</Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj" % (len(stream), stream)
     assert extract.pdf_text(pdf) == "Hello\nPDF"
@@ -104,14 +112,34 @@ def test_math_values():
 
 def test_families():
     assert len(grids.parameter_grid()) == 676
+    ids = [grids.family_id(s) for s in grids.parameter_grid()]
+    assert ids[0] == "translate:bg=0,dx=-3,dy=-3" and ids[50] == "translate:bg=1,dx=-3,dy=-2" and ids[490] == "recolor:dst=1,src=0" and ids[590] == "tile:nx=1,ny=1"
+    assert ids[606:608] == ["gravity:bg=0,dir=0", "gravity:bg=0,dir=1"] and ids[646] == "mirror:dihedral=0" and ids[-1] == "border:color=9,width=2" and len(set(ids)) == 676
     g = [[1, 0], [0, 2], [0, 0]]
-    assert grids.apply_family({"kind": "gravity", "direction": "down", "background": 0}, g) == [[0, 0], [0, 0], [1, 2]]
-    assert grids.apply_family({"kind": "crop", "background": 0}, [[0, 0], [0, 3]]) == [[3]] and grids.apply_family({"kind": "crop", "background": 0}, [[0]]) == [[0]]
-    assert grids.apply_family({"kind": "scale", "factor": 2}, [[1]]) == [[1, 1], [1, 1]]
-    assert grids.apply_family({"kind": "border", "width": 1, "color": 5}, [[1]]) == [[5, 5, 5], [5, 1, 5], [5, 5, 5]]
+    of = lambda kind, g, **p: grids.apply_family({"kind": kind, **p}, g)
+    assert [of("gravity", g, dir=k, bg=0) for k in range(4)] == [[[0, 0], [0, 0], [1, 2]], [[1, 2], [0, 0], [0, 0]], [[1, 0], [2, 0], [0, 0]], [[0, 1], [0, 2], [0, 0]]]
+    assert of("crop", [[0, 0], [0, 3]], bg=0) == [[3]] and of("crop", [[0]], bg=0) == [[0]] and of("tile", [[1]], nx=3, ny=2) == [[1, 1, 1], [1, 1, 1]]
+    assert of("scale", [[1]], factor=2) == [[1, 1], [1, 1]] and of("border", [[1]], width=1, color=5) == [[5, 5, 5], [5, 1, 5], [5, 5, 5]]
+    assert of("translate", [[1, 2, 3]], dx=1, dy=4, bg=0) == [[3, 1, 2]] and of("mirror", [[1, 2], [3, 4]], dihedral=1) == [[3, 1], [4, 2]]
+    for spec in ({"kind": "recolor", "src": 1, "dst": 1}, {"kind": "tile", "nx": 0, "ny": 1}, {"kind": "scale", "factor": 4}, {"kind": "crop"}, {"kind": "none"}):
+        with pytest.raises(ValueError):
+            grids.make_task(spec, 1)
+    for k, spec in enumerate(grids.parameter_grid()):
+        try:
+            pairs = grids.make_task(spec, k)
+        except ValueError:
+            continue
+        assert all(1 <= len(x) <= 30 and 1 <= len(x[0]) <= 30 for pair in pairs for x in pair), spec
     assert grids.make_task(grids.sample_specs(1, 3)[0], 8) == grids.make_task(grids.sample_specs(1, 3)[0], 8)
-    with pytest.raises(ValueError):
-        grids.sample_specs(677, 1)
+    for n in (0, 677):
+        with pytest.raises(ValueError):
+            grids.sample_specs(n, 1)
+
+
+def test_symmetries_of_rows_are_those_of_columns(spark):
+    g = [[1, 2, 3], [4, 5, 6]]
+    rows = spark.createDataFrame([(g,)], "g array<array<int>>")
+    assert list(rows.select(*(grids.symmetry(F.col("g"), n) for n in grids.SYMMETRIES)).first()) == [grids._turned(g, n) for n in grids.SYMMETRIES]
 
 
 def test_symmetries_turn_back(spark):
