@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fold import fold
+
 GENESIS = "0" * 64
 COLUMNS = "chain string, seq long, prev_hash string, hash string, timestamp string, event_type string, payload string, payload_hash string"
 
@@ -63,21 +65,18 @@ def verify(events: DataFrame, first_seq: int = 0) -> DataFrame:
 def append(records: DataFrame, first_seq: int = 0) -> DataFrame:
     """Chains ``(chain, pos, timestamp, event_type, payload)`` into events; each hash needs the one before it.
 
-    One chain is one task; a log with a single endless chain has to be appended to by a stream.
+    One chain is one task, through which its records stream; a log with a single endless chain has to be appended to by a stream.
     """
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        prev, out = GENESIS, []
-        for k, r in enumerate(part.sort_values("pos").itertuples(index=False)):
-            payload = canonical(r.payload)
-            digest = hashlib.sha256(payload.encode()).hexdigest()
-            seq = first_seq + k
-            h = hashlib.sha256(f"{seq}|{prev}|{digest}|{r.timestamp}|{r.event_type}".encode()).hexdigest()
-            out.append((r.chain, seq, prev, h, r.timestamp, r.event_type, payload, digest))
-            prev = h
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-
-    return records.select("chain", "pos", "timestamp", "event_type", "payload").groupBy("chain").applyInPandas(link, COLUMNS)
+    def link(state, r):
+        seq, prev = state
+        payload = canonical(r.payload)
+        digest = hashlib.sha256(payload.encode()).hexdigest()
+        h = hashlib.sha256(f"{seq}|{prev}|{digest}|{r.timestamp}|{r.event_type}".encode()).hexdigest()
+        return (seq + 1, h), [(r.chain, seq, prev, h, r.timestamp, r.event_type, payload, digest)]
+
+    rows = records.select("chain", "pos", "timestamp", "event_type", "payload")
+    return fold(rows, "chain", "pos", COLUMNS, lambda key: (first_seq, GENESIS), link)
 
 
 def read_jsonl(spark, path: str) -> DataFrame:

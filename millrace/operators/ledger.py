@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DIMENSIONS = 256
 # Words that a restricted query may not hold.
@@ -113,24 +111,27 @@ def get(ledger: DataFrame, experiment_id: str):
     return found
 
 
-def word_counts(value: str) -> Counter:
-    """How many of a text's words fall into each of ``DIMENSIONS`` buckets."""
-    return Counter(zlib.crc32(w.encode()) % DIMENSIONS for w in re.findall("[0-9a-z]+", value.lower()))
+def word_buckets(value: Column) -> Column:
+    """The bucket of each word of a text, of ``DIMENSIONS``, in order of size; the empty array for null."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("([0-9a-z]+)"))
+    return F.array_sort(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % DIMENSIONS))
 
 
 def similarity(query: str):
-    """A column function: cosine of a text's bucket counts with the query's, 0 if one has no words."""
-    asked = word_counts(query)
+    """A column function: cosine of the counts of a text's buckets with the query's, 0 if one has no words."""
+    asked = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS for w in re.findall("[0-9a-z]+", query.lower()))
     size = math.sqrt(sum(n * n for n in asked.values()))
+    weights = F.create_map(*(F.lit(x) for pair in asked.items() for x in pair)) if asked else F.create_map().cast("map<int,int>")
+    start = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares"), F.lit(0).cast("long").alias("dot"))
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            have = word_counts(t or "")
-            norm = size * math.sqrt(sum(n * n for n in have.values()))
-            out.append(sum(n * asked[b] for b, n in have.items()) / norm if norm else 0.0)
-        return pd.Series(out, dtype="float64")
+    def add(s: Column, b: Column) -> Column:
+        # The k-th word of a bucket adds k squared less (k - 1) squared to the squares.
+        run = F.when(s["last"] == b, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(b.alias("last"), run.alias("run"), (s["squares"] + 2 * run - 1).alias("squares"), (s["dot"] + F.coalesce(weights[b.cast("int")].cast("long"), F.lit(0).cast("long"))).alias("dot"))
+
+    def score(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return F.aggregate(word_buckets(text), start, add, lambda s: F.when((s["squares"] > 0) & F.lit(size > 0), s["dot"] / (F.lit(size) * F.sqrt(s["squares"]))).otherwise(F.lit(0.0)))
 
     return score
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
 PAGE_WINDOW = 10_000
 
 
@@ -46,20 +48,14 @@ def spikes(samples: DataFrame, window: int, threshold: float, exclude_spikes: bo
 
 
 def _spikes_without(samples: DataFrame, window: int, threshold: float) -> DataFrame:
-    import pandas as pd
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held, out = [], []
-        for r in part.sort_values("seq").itertuples(index=False):
-            mean = sum(held) / window if len(held) == window else 0.0
-            if len(held) == window and mean > 0 and r.loss > mean * (1 + threshold):
-                out.append((r.run_id, r.seq, r.step, r.loss, r.shard_id, mean))
-            else:
-                held = [*held, r.loss][-window:]
-        return pd.DataFrame(out, columns=["run_id", "seq", "step", "loss", "shard_id", "baseline"])
-
-    columns = ["run_id", "seq", "step", "loss", "shard_id"]
-    return samples.select(*columns).groupBy("run_id").applyInPandas(run, "run_id string, seq long, step long, loss double, shard_id string, baseline double")
+    def step(held, r):
+        mean = sum(held) / window if len(held) == window else 0.0
+        if len(held) == window and mean > 0 and r.loss > mean * (1 + threshold):
+            return held, [(r.run_id, r.seq, r.step, r.loss, r.shard_id, mean)]
+        return [*held, r.loss][-window:], []
+
+    rows = samples.select("run_id", "seq", "step", "loss", "shard_id")
+    return fold(rows, "run_id", "seq", "run_id string, seq long, step long, loss double, shard_id string, baseline double", lambda key: [], step)
 
 
 def pages(found: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
 LEASE_MS, MAX_STALENESS = 30_000, 4
 
 
-def lease_states(events: DataFrame) -> DataFrame:
-    """``(task_id, state, attempt, worker)`` of ``(task_id, seq, kind, worker)``.
+#: State of a task with the running attempt and its holder, and what a lease log makes of it.
+LEASE_COLUMNS = "task_id string, seq long, kind string, state string, attempt long, worker string, accepted boolean"
+
 
-    Kinds are enqueued, claimed, heartbeat, expired, completed and failed; every claim is a new
-    attempt, an expired task waits again, heartbeats change nothing here.
+def lease_step(now: tuple[str, int, str], kind: str, worker: str | None, attempt: int | None) -> tuple[tuple[str, int, str], bool]:
+    """The state after an event, and whether it counts.
+
+    Kinds are enqueued, claimed, heartbeat, expired, completed and failed. A task is enqueued once and claimed
+    while it waits, every claim is a new attempt, an expired task waits again; heartbeats, completions and failures
+    count only from the holder of the running attempt.
     """
-    moves = events.where("kind <> 'heartbeat'")
-    out = moves.groupBy("task_id").agg(F.max_by("kind", "seq").alias("kind"), F.sum((F.col("kind") == "claimed").cast("long")).alias("attempt"), F.max_by("worker", "seq").alias("worker"))
-    state = F.when(F.col("kind").isin("enqueued", "expired"), "waiting").when(F.col("kind") == "claimed", "leased").otherwise(F.col("kind"))
-    return out.select("task_id", state.alias("state"), "attempt", F.when(F.col("kind") == "claimed", F.col("worker")).alias("worker"))
+    state, number, holder = now
+    held = state == "leased" and worker == holder and attempt == number
+    accepted = {"enqueued": state == "new", "claimed": state == "waiting", "expired": state == "leased"}.get(kind, held)
+    if accepted and kind == "claimed":
+        return ("leased", number + 1, worker), True
+    if accepted and kind in ("enqueued", "expired"):
+        return ("waiting", number, ""), True
+    if accepted and kind in ("completed", "failed"):
+        return (kind, number, ""), True
+    return now, accepted
+
+
+def lease_log(events: DataFrame) -> DataFrame:
+    """Each event ``(task_id, seq, kind, worker, attempt)`` with its task's state after it, and whether it was accepted."""
+
+    def step(now, e):
+        now, accepted = lease_step(now, e.kind, e.worker, e.attempt)
+        return now, [(e.task_id, e.seq, e.kind, *now, accepted)]
+
+    return fold(events.select("task_id", "seq", "kind", "worker", "attempt"), "task_id", "seq", LEASE_COLUMNS, lambda key: ("new", 0, ""), step)
+
+
+def lease_states(events: DataFrame) -> DataFrame:
+    """``(task_id, state, attempt, worker)`` after all events; the worker is null unless the task is leased."""
+    last = lease_log(events).groupBy("task_id").agg(F.max_by(F.struct("state", "attempt", "worker"), "seq").alias("s"))
+    return last.select("task_id", "s.state", "s.attempt", F.nullif("s.worker", F.lit("")).alias("worker"))
 
 
 def fenced(events: DataFrame) -> DataFrame:
@@ -55,16 +83,12 @@ def charges(events: DataFrame, budget: int) -> DataFrame:
     A charge that would go over the episode's budget is rejected and leaves the total as it was.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        total, charged, rejected = 0, {}, {}
-        for r in part.sort_values("seq").itertuples(index=False):
-            fits = total + r.tokens <= budget
-            total += r.tokens if fits else 0
-            charged[r.agent] = charged.get(r.agent, 0) + (r.tokens if fits else 0)
-            rejected[r.agent] = rejected.get(r.agent, 0) + (not fits)
-        return pd.DataFrame([(part["episode"].iloc[0], a, charged[a], rejected[a]) for a in charged], columns=["episode", "agent", "charged", "rejected"])
+    def step(total, r):
+        fits = total + r.tokens <= budget
+        return total + (r.tokens if fits else 0), [(r.episode, r.agent, r.tokens if fits else 0, int(not fits))]
 
-    return events.select("episode", "seq", "agent", "tokens").groupBy("episode").applyInPandas(run, "episode string, agent string, charged long, rejected long")
+    rows = fold(events.select("episode", "seq", "agent", "tokens"), "episode", "seq", "episode string, agent string, charged long, rejected long", lambda key: 0, step)
+    return rows.groupBy("episode", "agent").agg(F.sum("charged").alias("charged"), F.sum("rejected").alias("rejected"))
 
 
 def request_windows(events: DataFrame, start: float, floor: float, cap: float, increase: float, decrease: float, slow_ms: float) -> DataFrame:
@@ -73,29 +97,23 @@ def request_windows(events: DataFrame, start: float, floor: float, cap: float, i
     A quick success adds, up to the cap; a slow one, a refusal or an outage multiplies and takes at least 1, down to the floor.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        window = start
-        for r in part.sort_values("seq").itertuples(index=False):
-            if r.outcome == "ok" and r.latency_ms <= slow_ms:
-                window = min(cap, window + increase)
-            else:
-                window = max(floor, min(window * decrease, window - 1))
-        return pd.DataFrame({"provider": [part["provider"].iloc[0]], "window": [float(window)]})
+    def step(window, r):
+        if r.outcome == "ok" and r.latency_ms <= slow_ms:
+            return min(cap, window + increase), []
+        return max(floor, min(window * decrease, window - 1)), []
 
-    return events.select("provider", "seq", "outcome", "latency_ms").groupBy("provider").applyInPandas(run, "provider string, window double")
+    rows = events.select("provider", "seq", "outcome", "latency_ms")
+    return fold(rows, "provider", "seq", "provider string, window double", lambda key: start, step, lambda key, window: [(key, float(window))])
 
 
 def curriculum(results: DataFrame, start: int, cap: int, success: float = 0.5) -> DataFrame:
     """``(stage, calls)``: tool calls double after each stage with a success rate over ``success``."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        calls, out = start, []
-        for r in part.sort_values("stage").itertuples(index=False):
-            calls = min(cap, calls * 2) if r.rate > success else calls
-            out.append((r.track, r.stage, calls))
-        return pd.DataFrame(out, columns=["track", "stage", "calls"])
+    def step(calls, r):
+        calls = min(cap, calls * 2) if r.rate > success else calls
+        return calls, [(r.track, r.stage, calls)]
 
-    return results.select("track", "stage", "rate").groupBy("track").applyInPandas(run, "track string, stage long, calls long")
+    return fold(results.select("track", "stage", "rate"), "track", "stage", "track string, stage long, calls long", lambda key: start, step)
 
 
 def staleness(trainer: Column, policy: Column) -> Column:

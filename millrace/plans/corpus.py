@@ -11,7 +11,7 @@ from ..session import spread, table
 from ..sources import extract
 from . import sql as q
 
-SMALL = dedup.NearConfig(shingle=5, hashes=8, bands=4, rows=2)
+NEAR = dedup.NearConfig()
 BASE_MIX = mixture.Mix("base", "pretrain-r0", "pretrain", dict(zip(mixture.SOURCES, (0.4, 0.15, 0.1, 0.1, 0.1, 0.08, 0.04, 0.03))))
 LENGTH, EOS = 512, 1
 
@@ -69,19 +69,19 @@ def dedup_exact_paragraph(spark, d):
 
 _SIGNED = f"""{q.DOCS}, w AS (SELECT id, content_hash, {q.words('n')} AS w FROM (SELECT id, content_hash, {q.normalize('text')} AS n FROM docs)),
 s AS (SELECT id, content_hash, list_distinct({q.windows('w', 5)}) AS s FROM w WHERE len(w) >= 5),
-g AS (SELECT id, content_hash, [""" + ", ".join(f"list_min(list_transform(s, lambda x: {q.first_u64_le(f'''sha256('{''.join(chr(92) + f'x{b:02x}' for b in k.to_bytes(8, 'little'))}'::BLOB || encode(x))''')}))" for k in range(SMALL.hashes)) + "] AS g FROM s)"  # noqa: E501
-_BANDS = _SIGNED + ", b AS (SELECT id, content_hash, unnest([" + ", ".join(
-    f"{{'band': {b}, 'key': {q.first_u64_le('sha256(unhex(' + ' || '.join(q.first_u64_le(f'g[{b * SMALL.rows + r + 1}]') for r in range(SMALL.rows)) + '))')}}}" for b in range(SMALL.bands)) + "]) AS k FROM g)"
+g AS (SELECT id, content_hash, [""" + ", ".join(f"list_min(list_transform(list_transform(s, lambda x: substr(sha256('{''.join(chr(92) + f'x{b:02x}' for b in k.to_bytes(8, 'little'))}'::BLOB || encode(x)), 1, 16)), lambda h: {q.first_u64_le('h')}))" for k in range(NEAR.hashes)) + "] AS g FROM s)"  # noqa: E501
+_BANDS = _SIGNED + ", h AS (SELECT id, content_hash, unnest([" + ", ".join(
+    f"{{'band': {b}, 'key': sha256(unhex(" + " || ".join(q.first_u64_le(f"g[{b * NEAR.rows + r + 1}]") for r in range(NEAR.rows)) + "))}" for b in range(NEAR.bands)) + "]) AS k FROM g), b AS (SELECT id, content_hash, {'band': k.band, 'key': " + q.first_u64_le("k.key") + "} AS k FROM h)"
 
 
 @register(f"WITH {_SIGNED} SELECT id, array_to_string(g, ',') AS signature FROM g")
 def minhash_signature(spark, d):
-    return dedup.signatures(docs(spark, d), SMALL).select("id", F.array_join("signature", ",").alias("signature"))
+    return dedup.signatures(docs(spark, d)).select("id", F.array_join("signature", ",").alias("signature"))
 
 
 @register(f"WITH {_BANDS} SELECT id, k.band AS band, k.key AS key FROM b")
 def lsh_band_keys(spark, d):
-    return dedup.band_keys(dedup.signatures(docs(spark, d), SMALL), SMALL)
+    return dedup.band_keys(dedup.signatures(docs(spark, d)))
 
 
 @register(f"""WITH RECURSIVE {_BANDS}, m AS MATERIALIZED (SELECT DISTINCT b.id, h.hub FROM b JOIN (SELECT k, min(id) AS hub FROM b GROUP BY k HAVING count(*) > 1) h ON b.k = h.k),
@@ -90,24 +90,6 @@ r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.z, r.root FROM r JOIN e
 c AS (SELECT node AS id, min(root) AS cluster FROM r GROUP BY node)
 SELECT c.id, cluster, first_value(c.id) OVER (PARTITION BY cluster ORDER BY content_hash, c.id) AS kept_id FROM c JOIN docs ON docs.id = c.id""")
 def dedup_near_clusters(spark, d):
-    return dedup.near_clusters(docs(spark, d), SMALL)
-
-
-@register()
-def minhash_signature_full(spark, d):
-    """As ``minhash_signature`` with the reference's 128 hashes."""
-    return dedup.signatures(docs(spark, d)).select("id", F.array_join("signature", ",").alias("signature"))
-
-
-@register()
-def lsh_band_keys_full(spark, d):
-    """As ``lsh_band_keys`` with the reference's 32 bands of 4 rows."""
-    return dedup.band_keys(dedup.signatures(docs(spark, d)))
-
-
-@register()
-def dedup_near_clusters_full(spark, d):
-    """As ``dedup_near_clusters`` with the reference's 32 bands of 4 rows."""
     return dedup.near_clusters(docs(spark, d))
 
 

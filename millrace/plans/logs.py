@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contracts, control, eventlog, ledger, metrics, queues
 from ..session import table
+from ..streaming import leases, spikes
 
 QUERIES, SQL = {}, {}
 
@@ -53,7 +56,13 @@ def ledger_negatives(spark, d):
     return ledger.negatives(_ledger(spark, d)).select("experiment_id")
 
 
-@register()
+_BUCKETS = "list_transform(regexp_extract_all(lower({}), '[0-9a-z]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 256)"
+
+
+@register(f"""WITH {_LEDGER}, h AS (SELECT experiment_id, rowid, unnest({_BUCKETS.format('hypothesis')}) AS b FROM ledger), c AS (SELECT experiment_id, rowid, b, count(*) AS n FROM h GROUP BY ALL),
+q AS (SELECT b, count(*) AS m FROM (SELECT unnest({_BUCKETS.format("'CHECK: 5-low order of 17'")}) AS b) GROUP BY b),
+s AS (SELECT experiment_id, rowid, coalesce(sum(n * m), 0) / (sqrt(sum(n * n)) * (SELECT sqrt(sum(m * m)) FROM q)) AS score FROM c LEFT JOIN q USING (b) GROUP BY ALL)
+SELECT experiment_id, round(score, 6) AS score FROM s ORDER BY round(score, 12) DESC, rowid LIMIT 10""")
 def ledger_similar(spark, d):
     return ledger.most_similar(_ledger(spark, d), "CHECK: 5-low order of 17", 10).select("experiment_id", F.round("score", 6).alias("score"))
 
@@ -115,7 +124,11 @@ _SAMPLES = "samples AS (SELECT event_type AS run_id, event_id AS seq, event_id A
 
 
 def _samples(spark, d):
-    return table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("user_id").cast("string").alias("shard_id"))
+    return _sample_rows(table(spark, d, "events"))
+
+
+def _sample_rows(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("user_id").cast("string").alias("shard_id"))
 
 
 _SPIKES = f"""{_SAMPLES}, b AS (SELECT *, avg(loss) OVER w AS baseline, count(loss) OVER w AS n FROM samples WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
@@ -127,7 +140,13 @@ def spike_detect(spark, d):
     return metrics.spikes(_samples(spark, d), 20, 1.5).select("run_id", "seq", "step", F.round("baseline", 6).alias("baseline"))
 
 
-@register()
+_EXCLUDING = f"""{_SAMPLES}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM samples),
+r AS (SELECT run_id, seq, step, k, [loss] AS held, NULL::DOUBLE AS baseline FROM e WHERE k = 1 UNION ALL
+SELECT e.run_id, e.seq, e.step, e.k, CASE WHEN len(held) = 20 AND list_avg(held) > 0 AND loss > list_avg(held) * 2.5 THEN held WHEN len(held) = 20 THEN list_append(held[2:], loss) ELSE list_append(held, loss) END,
+CASE WHEN len(held) = 20 AND list_avg(held) > 0 AND loss > list_avg(held) * 2.5 THEN list_avg(held) END FROM r JOIN e ON e.run_id = r.run_id AND e.k = r.k + 1)"""
+
+
+@register(f"WITH RECURSIVE {_EXCLUDING} SELECT run_id, seq, step, round(baseline, 6) AS baseline FROM r WHERE baseline IS NOT NULL")
 def spike_detect_excluding(spark, d):
     return metrics.spikes(_samples(spark, d), 20, 1.5, exclude_spikes=True).select("run_id", "seq", "step", F.round("baseline", 6).alias("baseline"))
 
@@ -214,20 +233,59 @@ def rfc3339_stamps(spark, d):
 
 
 _KINDS = ["enqueued", "claimed", "heartbeat", "expired", "completed", "failed"]
-_LEASE = f"""x AS (SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, {_KINDS!r}[CAST(floor(value) AS BIGINT) % 6 + 1] AS kind, CAST(event_id % 3 AS VARCHAR) AS worker FROM events)"""
+_LEASE = f"""x AS (SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, {_KINDS!r}[CAST(floor(value) AS BIGINT) % 6 + 1] AS kind, CAST(event_id % 3 AS VARCHAR) AS worker, event_id % 2 + 1 AS attempt FROM events)"""
 
 
 def _lease_events(spark, d):
+    return _lease_rows(table(spark, d, "events"))
+
+
+def _lease_rows(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.floor("value") % 6 + 1).cast("int"))
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("worker"))
+    return events.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("worker"), (F.col("event_id") % 2 + 1).alias("attempt"))
+
 
+_OK = "(CASE e.kind WHEN 'enqueued' THEN r.state = 'new' WHEN 'claimed' THEN r.state = 'waiting' WHEN 'expired' THEN r.state = 'leased' ELSE r.state = 'leased' AND e.worker = r.worker AND e.attempt = r.attempt END)"
+_FOLDED = f"""{_LEASE}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS k FROM x),
+r AS (SELECT task_id, 0::BIGINT AS seq, '' AS kind, 0::BIGINT AS k, 'new' AS state, 0::BIGINT AS attempt, '' AS worker, false AS accepted FROM (SELECT DISTINCT task_id FROM x) UNION ALL
+SELECT e.task_id, e.seq, e.kind, e.k, CASE WHEN NOT {_OK} OR e.kind = 'heartbeat' THEN r.state WHEN e.kind = 'claimed' THEN 'leased' WHEN e.kind IN ('enqueued', 'expired') THEN 'waiting' ELSE e.kind END,
+CASE WHEN {_OK} AND e.kind = 'claimed' THEN r.attempt + 1 ELSE r.attempt END, CASE WHEN NOT {_OK} OR e.kind = 'heartbeat' THEN r.worker WHEN e.kind = 'claimed' THEN e.worker ELSE '' END, {_OK}
+FROM r JOIN e ON e.task_id = r.task_id AND e.k = r.k + 1)"""
 
-@register(f"""WITH {_LEASE}, y AS (SELECT task_id, arg_max(kind, seq) AS kind, count(*) FILTER (kind = 'claimed') AS attempt, arg_max(worker, seq) AS worker FROM x WHERE kind <> 'heartbeat' GROUP BY task_id)
-SELECT task_id, CASE WHEN kind IN ('enqueued', 'expired') THEN 'waiting' WHEN kind = 'claimed' THEN 'leased' ELSE kind END AS state, attempt, CASE WHEN kind = 'claimed' THEN worker END AS worker FROM y""")
+
+@register(f"WITH RECURSIVE {_FOLDED} SELECT task_id, seq, kind, state, attempt, worker, accepted FROM r WHERE k > 0")
+def lease_log(spark, d):
+    return queues.lease_log(_lease_events(spark, d))
+
+
+@register(f"WITH RECURSIVE {_FOLDED} SELECT task_id, arg_max(state, k) AS state, arg_max(attempt, k) AS attempt, nullif(arg_max(worker, k), '') AS worker FROM r GROUP BY task_id")
 def lease_states(spark, d):
     return queues.lease_states(_lease_events(spark, d))
 
 
+def _streamed(spark, d: str, made, of) -> DataFrame:
+    """What a stream over the events gives, all that is there read as it would come, written and read again."""
+    from ..session import shared_dir
+
+    place = f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
+    name = f"{d}/events.parquet"
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(name + "*")
+    found = of(made(events))
+    found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{place}/out")
+
+
+@register(f"WITH RECURSIVE {_FOLDED} SELECT task_id, seq, kind, state, attempt, worker, accepted FROM r WHERE k > 0")
+def lease_stream(spark, d):
+    return _streamed(spark, d, _lease_rows, leases.lease_stream)
+
+
+@register(f"""WITH {_SPIKES} SELECT run_id, seq, step, round(baseline, 6) AS baseline, EXISTS (SELECT 1 FROM s p WHERE p.run_id = s.run_id AND p.seq < s.seq AND abs(p.step - s.step) <= 40) AS page FROM s""")
+def spike_stream(spark, d):
+    found = _streamed(spark, d, _sample_rows, lambda rows: spikes.spike_stream(rows, 20, 1.5, 40))
+    return found.select("run_id", "seq", "step", F.round("baseline", 6).alias("baseline"), "page")
+
+
 @register(f"""WITH {_LEASE}, y AS (SELECT *, last_value(CASE WHEN kind NOT IN ('enqueued', 'heartbeat') THEN kind || '/' || worker END IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM x)
 SELECT task_id, seq, CASE WHEN kind IN ('heartbeat', 'completed', 'failed') THEN coalesce(held = 'claimed/' || worker, false) ELSE true END AS valid FROM y""")
 def lease_fencing(spark, d):
@@ -251,19 +309,29 @@ def checkpoint_branches(spark, d):
     return table(spark, d, "events").select("event_id", queues.checkpoint_branch(F.col("user_id").cast("string"), F.col("event_id") % 5).alias("branch"))
 
 
-@register()
+@register("""WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id % 10 AS VARCHAR) AS episode, event_type AS agent, CAST(floor(value) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events),
+r AS (SELECT episode, agent, k, t, t <= 2000 AS fits, CASE WHEN t <= 2000 THEN t ELSE 0 END AS total FROM e WHERE k = 1 UNION ALL
+SELECT e.episode, e.agent, e.k, e.t, total + e.t <= 2000, CASE WHEN total + e.t <= 2000 THEN total + e.t ELSE total END FROM r JOIN e ON e.episode = r.episode AND e.k = r.k + 1)
+SELECT episode, agent, CAST(sum(CASE WHEN fits THEN t ELSE 0 END) AS BIGINT) AS charged, count(*) FILTER (NOT fits) AS rejected FROM r GROUP BY ALL""")
 def token_charges(spark, d):
     rows = table(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("episode"), F.col("event_id").alias("seq"), F.col("event_type").alias("agent"), F.floor("value").alias("tokens"))
     return queues.charges(rows, 2000)
 
 
-@register()
+@register("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS provider, user_id % 9 <> 0 AND value <= 80 AS good, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+r AS (SELECT DISTINCT provider, 0::BIGINT AS k, 8::DOUBLE AS w FROM e UNION ALL
+SELECT e.provider, e.k, CASE WHEN good THEN least(64, w + 1) ELSE greatest(1, least(w * 0.5, w - 1)) END FROM r JOIN e ON e.provider = r.provider AND e.k = r.k + 1)
+SELECT provider, arg_max(w, k) AS "window" FROM r GROUP BY provider""")
 def request_windows(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 9 == 0, "refused").otherwise("ok").alias("outcome"), F.col("value").alias("latency_ms"))
     return queues.request_windows(rows, 8.0, 1.0, 64.0, 1.0, 0.5, 80.0)
 
 
-@register()
+@register("""WITH RECURSIVE g AS (SELECT event_type AS track, CAST(floor(event_id / 1000) AS BIGINT) AS stage, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY ALL),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track ORDER BY stage) AS k FROM g),
+r AS (SELECT DISTINCT track, -1::BIGINT AS stage, 0::BIGINT AS k, 2::BIGINT AS calls FROM e UNION ALL
+SELECT e.track, e.stage, e.k, CASE WHEN rate > 0.5 THEN least(64, calls * 2) ELSE calls END FROM r JOIN e ON e.track = r.track AND e.k = r.k + 1)
+SELECT track, stage, calls FROM r WHERE k > 0""")
 def curriculum(spark, d):
     rows = table(spark, d, "events").groupBy(F.col("event_type").alias("track"), F.floor(F.col("event_id") / 1000).alias("stage")).agg(F.avg((F.col("value") > 20).cast("double")).alias("rate"))
     return queues.curriculum(rows, 2, 64)

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-COLUMNS = "task_id string, seq long, kind string, state string, attempt long, worker string, accepted boolean"
+from ..operators.queues import LEASE_COLUMNS as COLUMNS
+from ..operators.queues import lease_step
 
 
 def lease_stream(events: DataFrame) -> DataFrame:
@@ -22,15 +23,7 @@ def lease_stream(events: DataFrame) -> DataFrame:
         state, attempt, worker = kept.get if kept.exists else ("new", 0, "")
         out = []
         for e in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
-            holder = state == "leased" and e.worker == worker and e.attempt == attempt
-            ok = {"enqueued": state == "new", "claimed": state == "waiting", "expired": state == "leased"}.get(e.kind, holder)
-            if ok:
-                if e.kind == "claimed":
-                    state, attempt, worker = "leased", attempt + 1, e.worker
-                elif e.kind in ("enqueued", "expired"):
-                    state, worker = "waiting", ""
-                elif e.kind in ("completed", "failed"):
-                    state, worker = e.kind, ""
+            (state, attempt, worker), ok = lease_step((state, attempt, worker), e.kind, e.worker, e.attempt)
             out.append((key[0], e.seq, e.kind, state, attempt, worker, ok))
         kept.update((state, attempt, worker))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])
