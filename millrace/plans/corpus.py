@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import hashing, text
 from ..operators import classify, decontam, dedup, graph, mixture, packing, synth, tokenizer  # noqa: F401
 from ..session import spread, table
 from ..sources import extract
@@ -54,15 +54,25 @@ def shingles_5(spark, d):
     return rows.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.try_element_at("s", F.lit(1)).alias("first_shingle"), F.try_element_at("s", F.lit(-1)).alias("last_shingle"))
 
 
-@register(f"""WITH {q.DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(
-  regexp_replace(lower(translate(text, '{text.ZERO_WIDTH}', '')), '\\r\\n?', chr(10), 'g'), '\\n{q.SPACE}*\\n'), lambda x: {q.collapse('x')}), lambda x: x <> '') AS p FROM docs)
+_PARTS = f"""list_filter(list_transform(string_split_regex(
+  regexp_replace(lower(translate(text, '{text.ZERO_WIDTH}', '')), '\\r\\n?', chr(10), 'g'), '\\n{q.SPACE}*\\n'), lambda x: {q.collapse('x')}), lambda x: x <> '')"""
+
+
+@register(f"""WITH {q.DOCS}, p AS (SELECT doc_id, {_PARTS} AS p FROM docs)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, p[i] AS paragraph FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)""")
 def paragraphs(spark, d):
     rows = docs(spark, d).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("pos", "paragraph"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "paragraph")
 
 
-@register()
+def _greedy(rows: str) -> str:
+    """Documents of a table in the order of (content_hash, id), each kept unless a kept one before it has one of its paragraphs."""
+    return f"""g AS MATERIALIZED (SELECT id, list_distinct(list_transform({_PARTS}, lambda x: hash(x))) AS ps, row_number() OVER (ORDER BY content_hash, id) AS k FROM {rows}),
+t AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS id, false AS kept, []::UBIGINT[] AS seen UNION ALL
+SELECT g.k, g.id, NOT list_has_any(seen, ps), CASE WHEN list_has_any(seen, ps) THEN seen ELSE list_concat(seen, ps) END FROM t JOIN g ON g.k = t.k + 1)"""
+
+
+@register(f"WITH RECURSIVE {q.DOCS}, {_greedy('docs')} SELECT id, kept FROM t WHERE k > 0")
 def dedup_exact_paragraph(spark, d):
     return dedup.exact_paragraphs(docs(spark, d))
 
@@ -93,18 +103,24 @@ def dedup_near_clusters(spark, d):
     return dedup.near_clusters(docs(spark, d))
 
 
-@register()
-def dedup_near_fast(spark, d):
-    return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True, similarity=dedup.SIMILARITY)
+def _alike(rows: str) -> str:
+    """Components of all pairs of a table's texts that share 0.8 of their shingles: what banding must find."""
+    return f"""v AS MATERIALIZED (SELECT id, unnest(s) AS x, len(s) AS n FROM (SELECT id, list_distinct({q.windows('w', 5)}) AS s FROM (SELECT id, {q.words('n')} AS w FROM (SELECT id, {q.normalize('text')} AS n FROM {rows})) WHERE len(w) >= 5)),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM v a JOIN v b USING (x) WHERE a.id < b.id GROUP BY a.id, b.id),
+e AS MATERIALIZED (SELECT a, b AS z FROM p WHERE c / (na + nb - c) >= 0.8 UNION SELECT b, a FROM p WHERE c / (na + nb - c) >= 0.8),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.z, r.root FROM r JOIN e ON e.a = r.node),
+l AS (SELECT node AS id, min(root) AS cluster FROM r GROUP BY node),
+near AS (SELECT l.id, cluster, first_value(l.id) OVER (PARTITION BY cluster ORDER BY content_hash, l.id) AS kept_id FROM l JOIN {rows} d ON d.id = l.id)"""
 
 
-@register()
-def dedup_near_banded(spark, d):
-    """The reference's rule: a shared band is enough."""
-    return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True)
+@register(f"WITH RECURSIVE {q.DOCS}, {_alike('docs')} SELECT id, cluster, kept_id FROM near")
+def dedup_near_fast(spark, d):
+    return dedup.near_clusters(docs(spark, d), dedup.NearConfig(), fast=True, similarity=dedup.SIMILARITY)
 
 
-@register()
+@register(f"""WITH RECURSIVE {q.DOCS}, one AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256({q.normalize('text')}) ORDER BY content_hash, id) AS copy FROM docs) WHERE copy = 1),
+{_greedy('one')}, two AS MATERIALIZED (SELECT one.* FROM one JOIN t ON t.id = one.id WHERE kept), {_alike('two')}
+SELECT docs.id, CASE WHEN two.id IS NULL THEN 'dropped_exact' WHEN near.kept_id <> docs.id THEN 'dropped_near' ELSE 'kept' END AS status FROM docs LEFT JOIN two ON two.id = docs.id LEFT JOIN near ON near.id = docs.id""")
 def dedup_corpus(spark, d):
     return dedup.dedup_corpus(docs(spark, d), dedup.NearConfig(), fast=True, similarity=dedup.SIMILARITY)
 
@@ -115,6 +131,14 @@ def dedup_corpus_banded(spark, d):
     return dedup.dedup_corpus(docs(spark, d), dedup.NearConfig(), fast=True)
 
 
+@register(f"""WITH RECURSIVE {q.DOCS}, one AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256({q.normalize('text')}) ORDER BY content_hash, id) AS copy FROM docs) WHERE copy = 1),
+{_greedy('one')}, two AS MATERIALIZED (SELECT one.* FROM one JOIN t ON t.id = one.id WHERE kept), {_alike('two')},
+x AS (SELECT CASE WHEN two.id IS NULL THEN 'dropped_exact' WHEN near.kept_id <> docs.id THEN 'dropped_near' ELSE 'kept' END AS status FROM docs LEFT JOIN two ON two.id = docs.id LEFT JOIN near ON near.id = docs.id)
+SELECT status, count(*) AS n FROM x GROUP BY status""")
+def dedup_report(spark, d):
+    return dedup.report(dedup_corpus(spark, d))
+
+
 @register(f"""WITH {q.DOCS}, x AS (SELECT id, source, row_number() OVER (PARTITION BY sha256({q.normalize('text')}) ORDER BY content_hash, id) AS k FROM docs)
 SELECT source, count(*) AS n FROM x WHERE k = 1 GROUP BY source""")
 def select_kept(spark, d):
@@ -138,7 +162,11 @@ def decontam_hits(spark, d):
     return decontam.ngram_hits(corpus(spark, d), table(spark, d, "eval_item"))
 
 
-@register()
+@register(f"""WITH items AS (SELECT suite, item_id, {q.words(q.collapse('lower(text)'))} AS w FROM eval_item WHERE text IS NOT NULL),
+index AS (SELECT DISTINCT suite, item_id, unnest(CASE WHEN len(w) >= 8 THEN {q.windows('w', 8)} WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END) AS gram FROM items),
+n AS (SELECT DISTINCT least(8, len(w)) AS n FROM items WHERE len(w) > 0),
+mine AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS gram FROM (SELECT id, {q.words(q.collapse('lower(text)'))} AS w FROM corpus WHERE text IS NOT NULL), n)
+SELECT DISTINCT id, suite, item_id FROM mine JOIN index USING (gram)""")
 def decontam_hits_minimum_width(spark, d):
     return decontam.ngram_hits(corpus(spark, d), table(spark, d, "eval_item"), minimum=True)
 
@@ -181,13 +209,25 @@ def method_hash(spark, d):
     return decontam.method_hash(table(spark, d, "eval_item"))
 
 
-@register("""WITH p AS (SELECT content_hash, max(quality) AS q, max(safety) AS s FROM prediction GROUP BY content_hash),
-l AS (SELECT content_hash, keep_quality, keep_safety FROM human_label WHERE keep_quality IS NOT NULL AND keep_safety IS NOT NULL),
-m AS (SELECT coalesce(p.content_hash IS NOT NULL AND (coalesce(q >= 0.5::FLOAT, false) = keep_quality) AND (coalesce(s >= 0.5::FLOAT, false) = keep_safety), false) AS ok FROM l LEFT JOIN p ON p.content_hash = l.content_hash)
+_LABELS = "l AS (SELECT content_hash, keep_quality, keep_safety FROM human_label WHERE keep_quality IS NOT NULL AND keep_safety IS NOT NULL)"
+
+
+def _labels(spark, d):
+    return table(spark, d, "human_label").where("keep_quality is not null and keep_safety is not null").select("content_hash", "keep_quality", "keep_safety")
+
+
+@register(f"""WITH p AS (SELECT content_hash, max(quality) AS q, max(safety) AS s FROM prediction GROUP BY content_hash), {_LABELS},
+m AS (SELECT coalesce(q >= 0.5::FLOAT, false) = keep_quality AND coalesce(s >= 0.5::FLOAT, false) = keep_safety AS ok FROM l JOIN p USING (content_hash))
 SELECT count(*) AS n, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS matched, round(sum(CAST(ok AS BIGINT)) / count(*), 6) AS agreement FROM m""")
 def label_agreement(spark, d):
-    labels = table(spark, d, "human_label").where("keep_quality is not null and keep_safety is not null").select("content_hash", "keep_quality", "keep_safety")
-    return classify.agreement(labels, table(spark, d, "prediction"), strict=False)
+    """Over the labels that ``labels_unpredicted`` doesn't name; one without a prediction among them would raise."""
+    labels, predictions = _labels(spark, d), table(spark, d, "prediction")
+    return classify.agreement(labels.join(predictions, "content_hash", "left_semi"), predictions)
+
+
+@register(f"WITH {_LABELS} SELECT content_hash, count(*) AS n FROM l WHERE content_hash IS NULL OR NOT EXISTS (SELECT 1 FROM prediction p WHERE p.content_hash = l.content_hash) GROUP BY content_hash")
+def labels_unpredicted(spark, d):
+    return _labels(spark, d).join(table(spark, d, "prediction"), "content_hash", "left_anti").groupBy("content_hash").agg(F.count("*").alias("n"))
 
 
 @register("SELECT config_id, count(*) AS n FROM prediction WHERE quality >= 0.5::FLOAT AND safety >= 0.5::FLOAT GROUP BY config_id")
@@ -206,7 +246,14 @@ def shard_assignment(spark, d):
     return classify.shards(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@register()
+def _unit(tag: int) -> str:
+    """SQL of a score: the mixed hash with a tag, mixed again with the seed; its top 24 bits."""
+    mixed = q.mix64(f"xor(7::UHUGEINT, {q.mix64(f'((h + {tag}) % {q.U64})')})")
+    return f"CAST(({mixed} >> 40) AS FLOAT) / 16777216"
+
+
+@register(f"""WITH {q.DOCS}, x AS (SELECT content_hash, list_reduce(list_prepend({hashing.FNV_OFFSET}::UHUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS UHUGEINT))), lambda a, b: (xor(a, b) * {hashing.FNV_PRIME}) % {q.U64}) AS h FROM docs)
+SELECT content_hash, CAST({_unit(classify.QUALITY_TAG)} AS FLOAT) AS quality, CAST({_unit(classify.SAFETY_TAG)} AS FLOAT) AS safety FROM x""")
 def hash_scores(spark, d):
     return classify.score_with(docs(spark, d), classify.hash_scorer(7))
 
@@ -248,18 +295,31 @@ def _sequences(spark, d):
     return packing.pack(_tokens(spark, d), packing.Packing("c", LENGTH, "concat_eos"), EOS)
 
 
-@register()
+def _order(epoch: str) -> str:
+    """SQL of the order of an epoch: an exchange from the end, one place after the other."""
+    state = f"(xor(11::UHUGEINT, ({hashing.GOLDEN} * ({epoch} + 1)::UHUGEINT) % {q.U64}) + {hashing.GOLDEN} * ((SELECT n FROM size) - k)::UHUGEINT) % {q.U64}"
+    return f"""size AS MATERIALIZED (SELECT CAST(max(place) // {LENGTH} + 1 AS BIGINT) AS n FROM n),
+o AS (SELECT (SELECT n FROM size) - 1 AS k, list_transform(range(0, (SELECT n FROM size)), lambda x: CAST(x AS BIGINT)) AS l UNION ALL
+SELECT k - 1, list_transform(l, lambda x, i: CASE WHEN i = k + 1 THEN l[j + 1] WHEN i = j + 1 THEN l[k + 1] ELSE x END) FROM (SELECT k, l, CAST({q.mix64(state)} % (k + 1)::UHUGEINT AS BIGINT) AS j FROM o WHERE k > 0))"""
+
+
+def _batch(at: int) -> str:
+    return f"""WITH RECURSIVE {_STREAM}, {_order('1')}, g AS (SELECT unnest(l) AS seq, unnest(range(0, len(l))) AS pos FROM o WHERE k = 0)
+SELECT CAST(pos - {at} AS BIGINT) AS i, 1 AS epoch, CAST(pos AS BIGINT) AS pos, seq, {LENGTH} AS n FROM g WHERE pos >= {at} AND pos < {at} + 16"""
+
+
+@register(f"WITH RECURSIVE {_STREAM}, {_order('2')} SELECT CAST(unnest(range(0, len(l))) AS BIGINT) AS pos, unnest(l) AS seq FROM o WHERE k = 0")
 def shuffle_order(spark, d):
     return packing.epoch_order(_sequences(spark, d), 11, 2)
 
 
-@register()
+@register(_batch(3))
 def next_batch(spark, d):
     rows, _ = packing.next_batch(_sequences(spark, d), packing.Packing("c", LENGTH, "concat_eos"), packing.LoaderState(11, 1, 3), 16)
     return rows.select("i", "epoch", "pos", "seq", F.size("tokens").alias("n"))
 
 
-@register()
+@register(_batch(19))
 def reconstruct_batch(spark, d):
     rows = packing.reconstruct(_sequences(spark, d), packing.Packing("c", LENGTH, "concat_eos"), packing.LoaderState(11, 1, 19), 16)
     return rows.select("i", "epoch", "pos", "seq", F.size("tokens").alias("n"))
@@ -412,7 +472,13 @@ def rephrase_prompts(spark, d):
     return synth.rephrase_prompts(docs(spark, d).where("text <> ''")).select("id", "style", F.md5("prompt").alias("prompt_hash"))
 
 
-@register()
+_WHITE = q.SPACE[1:-1]
+
+
+@register(f"""WITH {q.DOCS}, b AS (SELECT doc_id, regexp_replace(text, '{q.SPACE}+$', '') AS t FROM docs),
+a AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '(?im)^answer[{_WHITE.replace(chr(92) + 't-' + chr(92) + 'r', chr(92) + 't' + chr(92) + 'x{0b}-' + chr(92) + 'r')}]*:([^\\n]*)$', 1), lambda x: regexp_replace(x, '^{q.SPACE}+|{q.SPACE}+$', '', 'g')), lambda x: x <> '') AS named,
+regexp_extract_all(t, '(?ms)^```[^\\n]*\\n(.*?)```', 1) AS blocks, list_filter(string_split(t, chr(10)), lambda x: NOT regexp_full_match(x, '{q.SPACE}*')) AS lines FROM b)
+SELECT doc_id, md5(CASE WHEN len(named) > 0 THEN named[-1] WHEN len(blocks) > 0 THEN regexp_replace(blocks[-1], '\\n$', '') ELSE coalesce(lines[-1], '') END) AS answer_hash FROM a""")
 def extract_answer(spark, d):
     return docs(spark, d).select("doc_id", F.md5(synth.extract_answer(F.col("text"))).alias("answer_hash"))
 
@@ -423,7 +489,10 @@ def verified_rate(spark, d):
     return synth.verified_rate(rows).select(F.round("rate", 9).alias("rate"))
 
 
-@register()
+_LAST_WORD = f"regexp_extract(text, '([^{_WHITE}]+){q.SPACE}*$', 1)"
+
+
+@register(f"""SELECT suite || '/' || item_id AS problem_id, CAST(3 * count(*) AS BIGINT) AS generated, CAST(3 * sum(CASE WHEN string_split(text, ' ')[-1] = {_LAST_WORD} THEN 1 ELSE 0 END) AS BIGINT) AS accepted FROM eval_item WHERE text <> '' GROUP BY 1""")
 def rejection_sample(spark, d):
     items = table(spark, d, "eval_item").select(F.concat_ws("/", "suite", "item_id").alias("problem_id"), F.col("suite").alias("domain"), F.col("text").alias("prompt"), F.substring_index("text", " ", -1).alias("answer"))
     return synth.rejection_sample(items.where("prompt <> ''"), 3, lambda prompts: [p.split()[-1] for p in prompts], lambda gold, given: gold == given)

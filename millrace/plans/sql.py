@@ -1,5 +1,6 @@
 """Pieces of DuckDB SQL that say what the text functions do."""
 
+from ..functions.hashing import MIX_A, MIX_B
 from ..functions.text import MATH_ENVIRONMENTS, STOP_WORDS, ZERO_WIDTH
 
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -26,6 +27,19 @@ def first_u64_le(h: str) -> str:
     return "(" + " || ".join(f"substr({h}, {at}, 2)" for at in range(15, 0, -2)) + ")"
 
 
+#: Two to the 64th, for unsigned arithmetic in UHUGEINT.
+U64 = f"{1 << 64}::UHUGEINT"
+
+
+def mix64(x: str) -> str:
+    """The finalizer of SplitMix64 over an unsigned 64-bit number in UHUGEINT; each step is a list of one, so that nothing is worked out twice."""
+    steps = [f"(xor(z, z >> 30) * {MIX_A}) % {U64}", f"(xor(z, z >> 27) * {MIX_B}) % {U64}", "xor(z, z >> 31)"]
+    out = f"[{x}]"
+    for step in steps:
+        out = f"list_transform({out}, lambda z: {step})"
+    return f"({out})[1]"
+
+
 def literal(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

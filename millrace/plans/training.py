@@ -173,21 +173,12 @@ def answer_divergence(spark, d):
     return rewards.divergences(rows)
 
 
-@register("""WITH t AS (SELECT DISTINCT l_orderkey % 50 AS token, l_linenumber - 1 AS layer, 1 AS k FROM lineitem WHERE l_orderkey % 7 <> 0), n AS (SELECT l_orderkey % 50 AS token, l_linenumber - 1 AS layer, count(*) AS n FROM lineitem WHERE l_orderkey < 60 AND l_orderkey % 7 <> 0 GROUP BY 1, 2),
-c AS (SELECT token, layer FROM (SELECT unnest(range(0, 50)) AS token), (SELECT unnest(range(0, 6)) AS layer))
-SELECT coalesce(c.token, n.token) AS token, CAST(coalesce(c.layer, n.layer) AS BIGINT) AS layer, CASE WHEN c.token IS NULL THEN 'out_of_range' WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'twice' END AS fault
-FROM c FULL JOIN n ON c.token = n.token AND c.layer = n.layer WHERE c.token IS NULL OR n.n IS NULL OR n.n > 1""")
-def routing_table(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 60 and l_orderkey % 7 <> 0").select((F.col("l_orderkey") % 50).alias("token"), (F.col("l_linenumber") - 1).alias("layer"))
-    return rewards.routing_table(rows, 50, 6)
-
-
 @register("""WITH n AS (SELECT l_orderkey AS token, l_linenumber - 1 AS layer, count(*) AS n FROM lineitem GROUP BY 1, 2),
 c AS (SELECT token, layer FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) + 1 FROM lineitem))) AS token), (SELECT unnest(range(0, 6)) AS layer))
 SELECT CAST(coalesce(c.token, n.token) AS BIGINT) AS token, CAST(coalesce(c.layer, n.layer) AS BIGINT) AS layer, CASE WHEN c.token IS NULL THEN 'out_of_range' WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'twice' END AS fault
 FROM c FULL JOIN n ON c.token = n.token AND c.layer = n.layer WHERE c.token IS NULL OR n.n IS NULL OR n.n > 1""")
-def routing_table_full(spark, d):
-    """As ``routing_table`` over all rows, with a token for each order."""
+def routing_table(spark, d):
+    """A token for each order, a layer for each line."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("token"), (F.col("l_linenumber") - 1).alias("layer"))
     n_tokens = rows.agg(F.coalesce(F.max("token") + 1, F.lit(0))).first()[0]
     return rewards.routing_table(rows, n_tokens, 6)

@@ -100,11 +100,11 @@ def test_full_queries_are_the_reference_rule(spark, tmp_path):
     rows = [(k, t, "s") for k, t in enumerate(texts)]
     spark.createDataFrame([*rows, (99, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = {str(k): brute_signature(t) for k, t, _ in rows if len(t.split()) >= 5}
-    got = {r.id: [int(x, 16) for x in r.signature.split(",")] for r in corpus.QUERIES["minhash_signature_full"](spark, str(tmp_path)).collect()}
+    got = {r.id: [int(x, 16) for x in r.signature.split(",")] for r in corpus.QUERIES["minhash_signature"](spark, str(tmp_path)).collect()}
     assert got == wanted
     pack = lambda xs: b"".join(x.to_bytes(8, "little") for x in xs)
     keys = {(i, b, f"{int.from_bytes(hashlib.sha256(pack(s[b * 4 : b * 4 + 4])).digest()[:8], 'little'):016x}") for i, s in wanted.items() for b in range(32)}
-    assert {tuple(r) for r in corpus.QUERIES["lsh_band_keys_full"](spark, str(tmp_path)).collect()} == keys
+    assert {tuple(r) for r in corpus.QUERIES["lsh_band_keys"](spark, str(tmp_path)).collect()} == keys
     cluster = {i: i for i in wanted}
     by = {}
     for i, b, key in keys:
@@ -114,7 +114,7 @@ def test_full_queries_are_the_reference_rule(spark, tmp_path):
             least = min(cluster[i] for i in members)
             cluster.update((i, least) for i in members)
     alone = [c for c in cluster.values() if list(cluster.values()).count(c) == 1]
-    near = corpus.QUERIES["dedup_near_clusters_full"](spark, str(tmp_path)).collect()
+    near = corpus.QUERIES["dedup_near_clusters"](spark, str(tmp_path)).collect()
     assert {r.id: r.cluster for r in near} == {i: c for i, c in cluster.items() if c not in alone} and near
 
 
