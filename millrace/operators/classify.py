@@ -41,15 +41,13 @@ def ranked(df: DataFrame, order: str, keep_part: bool = False) -> DataFrame:
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cut = stage(df.repartitionByRange(int(parts), order).withColumn("mr_part", F.spark_partition_id()), "ranked")
     sizes = sorted((r.mr_part, r["count"]) for r in cut.groupBy("mr_part").count().collect())  # one row a partition
-    offsets, total = {}, 0
+    starts, total = [], 0
     for part, n in sizes:
-        offsets[part] = total
+        starts.append((part, total))
         total += n
-    if not offsets:
-        return (cut if keep_part else cut.drop("mr_part")).withColumn("rank", F.lit(0).cast("long"))
-    start = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))[F.col("mr_part")]
+    small = df.sparkSession.createDataFrame(starts, "mr_part int, mr_start long")
     inside = F.row_number().over(Window.partitionBy("mr_part").orderBy(order)) - 1
-    out = cut.withColumn("rank", start.cast("long") + inside)
+    out = cut.join(F.broadcast(small), "mr_part").withColumn("rank", F.col("mr_start") + inside).drop("mr_start")
     return out if keep_part else out.drop("mr_part")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 WIDTH = 8
-#: Items up to this number are broadcast; beyond it the gram join shuffles both sides.
-BROADCAST_ITEMS = 200_000
+#: Query vectors in one broadcast; more are scanned in as many blocks.
+BLOCK = 20_000
 
 
 def _checked(items: DataFrame) -> DataFrame:
@@ -18,10 +18,6 @@ def _checked(items: DataFrame) -> DataFrame:
     return items.where("text is not null")
 
 
-def _small(items: DataFrame, side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS else side
-
-
 def unique_items(items: DataFrame) -> DataFrame:
     """Keys ``(suite, item_id)`` that occur more than once; an index may hold each once."""
     return items.groupBy("suite", "item_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -45,7 +41,8 @@ def ngram_hits(docs: DataFrame, items: DataFrame, n: int = WIDTH, minimum: bool
     rows = docs.where("text is not null").select("id", tokens.alias("tokens"))
     parts = F.array_distinct(F.concat(*(text.windows(F.col("tokens"), w) for w in widths)))
     exploded = rows.select("id", F.explode(parts).alias("gram"))
-    return exploded.join(_small(items, index.select("suite", "item_id", "gram")), "gram").select("id", "suite", "item_id").distinct()
+    # No hint: the adaptive plan broadcasts the index if its measured bytes are below the threshold.
+    return exploded.join(index.select("suite", "item_id", "gram"), "gram").select("id", "suite", "item_id").distinct()
 
 
 def status(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def word_match(docs: DataFrame, items: DataFrame, against: list[str] | None = No
     widths = sorted({n} | {r.w for r in short.select("w").distinct().collect()})
     rows = docs.where("text is not null").select("id", tokens.alias("t"))
     mine = rows.select("id", F.explode(F.array_distinct(F.concat(*(text.windows(F.col("t"), w) for w in widths)))).alias("gram"))
-    return mine.join(_small(items, grams.select("gram").distinct()), "gram", "left_semi").select("id").distinct()
+    return mine.join(grams.select("gram").distinct(), "gram", "left_semi").select("id").distinct()
 
 
 def planted_missing(planted: DataFrame, hits: DataFrame) -> DataFrame:
@@ -94,11 +91,50 @@ def method_hash(items: DataFrame, header: str = "decontam/v1", n: int = WIDTH) -
 
 
 def embedding_hits(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """``(vec_id, query_id, cosine)`` at or over the threshold; the queries are a bounded set and are broadcast."""
-    if queries.limit(BROADCAST_ITEMS + 1).count() > BROADCAST_ITEMS:
-        raise ValueError("too many query vectors for one broadcast; scan in blocks")
-    score = cosine(F.col("embedding"), F.col("query"))
-    return vectors.join(F.broadcast(queries), F.lit(True)).select("vec_id", "query_id", score.alias("cosine")).where(F.col("cosine") >= threshold)
+    """``(vec_id, query_id, cosine)`` at or over the threshold, of every vector with every query.
+
+    Queries are taken in blocks of about ``BLOCK``, whatever their number: a block is one array of unit vectors in
+    single precision that is broadcast, and one pass of matrix products over the vectors. Pairs that may reach the
+    threshold are worked out again in double precision. Null vectors and those without a length match nothing.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    kinds = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"vec_id {kinds[0]}, query_id {kinds[1]}, cosine double"
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    found = spark.createDataFrame([], schema)
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        made = np.array(rows.tolist(), dtype=np.float64)
+        size = np.sqrt((made * made).sum(axis=1, keepdims=True)) if len(made) else np.zeros((0, 1))
+        return np.divide(made, size, out=np.full_like(made, np.nan), where=size > 0)
+
+    for block in range(blocks):
+        part = asked.where(F.col("block") == block).select("query_id", "query").toArrow().to_pandas()
+        by_size = {n: (group["query_id"].to_numpy(), unit(group["query"])) for n, group in part.groupby(part["query"].str.len())} if len(part) else {}
+        shared = spark.sparkContext.broadcast(by_size)
+
+        def score(batches, shared=shared):
+            for batch in batches:
+                for n, group in batch.groupby(batch["embedding"].str.len()):
+                    ids, theirs = shared.value.get(n, (None, None))
+                    if ids is None:
+                        continue
+                    for at in range(0, len(group), 256):
+                        rows = group.iloc[at : at + 256]
+                        mine = unit(rows["embedding"])
+                        i, j = np.nonzero(mine.astype(np.float32) @ theirs.T.astype(np.float32) >= np.float32(threshold - 1e-5))
+                        value = np.einsum("ij,ij->i", mine[i], theirs[j])
+                        keep = value >= threshold
+                        yield pd.DataFrame({"vec_id": rows["vec_id"].to_numpy()[i[keep]], "query_id": ids[j[keep]], "cosine": value[keep]})
+
+        rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+        found = found.unionByName(rows.mapInPandas(score, schema)) if block else rows.mapInPandas(score, schema)
+    return found
 
 
 def cosine(a: F.Column, b: F.Column) -> F.Column:

@@ -36,6 +36,7 @@ def exact_documents(docs: DataFrame) -> DataFrame:
     The aggregate over hashes alone is combined on the map side; a hot group is one row when it is joined back.
     """
     hashed = docs.where("text is not null").select("id", "content_hash", text.exact_hash(F.col("text")).alias("h"))
+    hashed = stage(hashed, "hashed")  # texts are read and hashed once
     return hashed.join(hashed.groupBy("h").agg(_keeper().alias("kept_id")), "h").select("id", "h", "kept_id")
 
 

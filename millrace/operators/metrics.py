@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .fold import fold
 
 PAGE_WINDOW = 10_000
+#: Samples of a block when baselines are worked out.
+BLOCK = 100_000
 
 
 def label_key(labels: Column) -> Column:
@@ -41,8 +43,16 @@ def spikes(samples: DataFrame, window: int, threshold: float, exclude_spikes: bo
     """
     if exclude_spikes:
         return _spikes_without(samples, window, threshold)
-    order = Window.partitionBy("run_id").orderBy("seq").rowsBetween(-window, -1)
-    rows = samples.withColumn("baseline", F.avg("loss").over(order)).withColumn("before", F.count("loss").over(order))
+    from .classify import ranked
+
+    # Runs are cut into blocks that each begin with the samples before them, so that a run of any length is many tasks.
+    placed = ranked(samples.withColumn("mr_key", F.struct("run_id", "seq")), "mr_key").drop("mr_key")
+    size = F.lit(max(BLOCK, window))
+    own = F.floor(F.col("rank") / size)
+    both = F.when(F.col("rank") % size >= size - window, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = placed.withColumn("mr_block", F.explode(both)).withColumn("mr_own", F.col("mr_block") == own)
+    order = Window.partitionBy("mr_block", "run_id").orderBy("seq").rowsBetween(-window, -1)
+    rows = rows.withColumn("baseline", F.avg("loss").over(order)).withColumn("before", F.count("loss").over(order)).where("mr_own")
     over = (F.col("before") == window) & (F.col("baseline") > 0) & (F.col("loss") > F.col("baseline") * (1 + threshold))
     return rows.where(over).select("run_id", "seq", "step", "loss", "shard_id", "baseline")
 

@@ -59,28 +59,29 @@ def concatenated(docs: DataFrame, packing: Packing, eos: int, strict: bool = Fal
 
     A separator stands between documents, empty ones too, and belongs to the document it
     closes. ``document_ids`` counts documents from 0; padding has 0, or null with ``strict``,
-    and the column is null unless the strategy is document_mask. Offsets are prefix sums of
-    range partitions, one number each, and each document is cut into its sequences before
-    anything is shuffled, so tokens move once.
+    and the column is null unless the strategy is document_mask. Places are worked out over
+    ``(id, size)`` alone, as prefix sums of range partitions, one number each; the tokens then move twice,
+    to their places and, cut into sequences, to their sequence. Documents of one id stand in the order of the written table.
     """
     from pyspark.sql import Window
 
     length, between = packing.sequence_length, int(packing.eos_between_docs)
-    rows = ranked(docs.where("tokens is not null").select("id", "tokens"), "id", keep_part=True).withColumnRenamed("mr_part", "part")
     from ..session import stage
 
-    rows = stage(rows.withColumn("cost", F.size("tokens") + between), "packed")
-    sums = sorted((r.part, r.first, r.cost) for r in rows.groupBy("part").agg(F.min("rank").alias("first"), F.sum("cost").alias("cost")).collect())
-    starts, total = {}, 0
-    for part, _, cost in sorted(sums, key=lambda s: s[1]):
-        starts[part] = total
+    docs = stage(docs.where("tokens is not null").select("id", "tokens", F.monotonically_increasing_id().alias("row")), "tokens")
+    order = F.struct("id", "row")
+    rows = ranked(docs.select(order.alias("key"), (F.size("tokens") + between).alias("cost")), "key", keep_part=True).withColumnRenamed("mr_part", "part")
+    rows = stage(rows, "places")
+    sums = sorted((r.first, r.part, r.cost) for r in rows.groupBy("part").agg(F.min("rank").alias("first"), F.sum("cost").alias("cost")).collect())
+    starts, total = [], 0
+    for _, part, cost in sums:
+        starts.append((part, total))
         total += cost
-    if not starts:
-        starts = {0: 0}
     total -= between
-    base = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))[F.col("part")].cast("long")
+    base = docs.sparkSession.createDataFrame(starts, "part int, base long")
     inside = F.sum("cost").over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("at", base + F.coalesce(inside, F.lit(0).cast("long")))
+    placed = rows.join(F.broadcast(base), "part").select("key.row", "rank", (F.col("base") + F.coalesce(inside, F.lit(0).cast("long"))).alias("at"))
+    placed = docs.select("row", "tokens").join(placed, "row")
     body = F.concat("tokens", F.array(F.lit(eos))) if between else F.col("tokens")
     placed = placed.select("rank", "at", F.when(F.col("at") + F.size(body) > total, F.col("tokens")).otherwise(body).alias("body")).where(F.size("body") > 0)
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.size("body") - 1) / length)

@@ -37,6 +37,31 @@ def best_pair(counts: DataFrame):
     return counts.orderBy(F.desc("n"), "left", "right").limit(1).first()
 
 
+#: Pairs that a round of training looks at.
+LOOKED_AT = 4_096
+
+
+def independent(ranked: list[tuple[int, int, int]], whole: bool) -> list[tuple[int, int]]:
+    """Of pairs ``(left, right, n)`` in the order of merging, the first ones that would be merged next in any case.
+
+    A merge changes only counts of pairs that share an id with it, and no pair that it makes is more frequent than the
+    one of these that it is made from. So the next pair in the order is safe as long as no pair that shares an
+    id with the merges before it is as frequent. ``whole`` says whether the list holds every pair.
+    """
+    used: set[int] = set()
+    chosen: list[tuple[int, int]] = []
+    touched = 0  # the greatest count of a pair that shares an id with a chosen one
+    for left, right, n in ranked:
+        if not chosen:
+            pass
+        elif n <= touched or (not whole and n == ranked[-1][2]):
+            break
+        chosen.append((left, right))
+        used |= {left, right}
+        touched = next((m for x, y, m in ranked if (x, y) not in chosen and (x in used or y in used)), 0)
+    return chosen
+
+
 def merged(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     """Each pair, from the left and without overlap, as the new id."""
     at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
@@ -60,10 +85,11 @@ def _flat(lists: pd.Series) -> np.ndarray:
 
 
 def train(docs: DataFrame, vocab_size: int, text_col: str = "text", every: int = 8) -> list[tuple[int, int]]:
-    """Merges until the vocabulary is full or no pair is left; one aggregate over the corpus for each.
+    """Merges until the vocabulary is full or no pair is left; one aggregate over the corpus for each round of independent merges.
 
-    Each round's corpus is written to the shared folder after ``every`` merges, so the lineage stays short.
-    Different texts are merged once and weigh as often as they are there.
+    A round takes all merges that are certain from one count of the pairs, see ``independent``, so there are fewer rounds than
+    merges, the more so the larger the vocabulary is. Each round's corpus is written to the shared folder after ``every``
+    merges, so the lineage stays short. Different texts are merged once and weigh as often as they are there.
     """
     corpus = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("t")).agg(F.count("*").alias("times"))
     merges: list[tuple[int, int]] = []
@@ -107,11 +133,12 @@ def train(docs: DataFrame, vocab_size: int, text_col: str = "text", every: int =
 
     corpus = stage(corpus.mapInPandas(first, "ids array<int>, times long"), "bpe")
     while FIRST_MERGE + len(merges) < vocab_size:
-        best = best_pair(counts(pending))
-        if best is None:
+        top = counts(pending).orderBy(F.desc("n"), "left", "right").limit(LOOKED_AT).collect()
+        if not top:
             break
-        pending.append((best.left, best.right, FIRST_MERGE + len(merges)))
-        merges.append((best.left, best.right))
+        for pair in independent([(r.left, r.right, r.n) for r in top], len(top) < LOOKED_AT)[: vocab_size - FIRST_MERGE - len(merges)]:
+            pending.append((*pair, FIRST_MERGE + len(merges)))
+            merges.append(pair)
         if len(pending) >= every:
             corpus, pending = stage(keep(pending), "bpe"), []
     return merges

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contracts, control, eventlog, ledger, metrics, queues
-from ..session import table
+from ..session import staging_path, table
 from ..streaming import leases, spikes
 
 QUERIES, SQL = {}, {}
@@ -265,9 +263,7 @@ def lease_states(spark, d):
 
 def _streamed(spark, d: str, made, of) -> DataFrame:
     """What a stream over the events gives, all that is there read as it would come, written and read again."""
-    from ..session import shared_dir
-
-    place = f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
+    place = staging_path(spark, "stream")
     name = f"{d}/events.parquet"
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(name + "*")
     found = of(made(events))

@@ -29,12 +29,14 @@ def build_session(master: str = "local[*]", app: str = "millrace", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is set where none is named, in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
@@ -50,11 +52,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     stages, and lets several consumers share one run of an expensive stage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[tuple[str, str]] = []
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the application ends, or by ``clear_staged``."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    place, files = _files(spark, path)
+    files.deleteOnExit(place)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this application so far; for long sessions, once their results are written."""
+    own = [path for app, path in _STAGED if app == spark.sparkContext.applicationId]
+    for path in own:
+        place, files = _files(spark, path)
+        files.delete(place, True)
+    _STAGED[:] = [(app, path) for app, path in _STAGED if path not in own]
+    return len(own)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
