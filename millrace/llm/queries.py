@@ -37,6 +37,12 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatcopies.collapsed(table(spark, d, "corpus"), "id", "text")
 
 
+def p2_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """128-bit hashes that different canonical forms share; expected to be empty."""
+    groups = formatcopies.copy_groups(formatcopies.fingerprints(table(spark, d, "corpus"), "id", "text"))
+    return formatcopies.collisions(groups).select(F.lower(F.hex("h")).alias("hash128"), "forms")
+
+
 def p3_hits(spark: SparkSession, d: str) -> DataFrame:
     return leakage.scan(table(spark, d, "corpus"), table(spark, d, "eval_item"))
 
@@ -111,9 +117,12 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_held, p4_rates,
+    for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p2_collisions, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_held, p4_rates,
               p5_ids, p5_roundtrip, p6_windows, p6_report, p7_found, p7_rates)
 }
 
 #: The others can't be said in SQL; they are tested against brute force, round trips and held-out labels.
-SQL: dict[str, str] = {"p5_roundtrip": "SELECT doc_id FROM documents WHERE false"}
+SQL: dict[str, str] = {
+    "p2_collisions": "SELECT id AS hash128, 2::BIGINT AS forms FROM corpus WHERE false",
+    "p5_roundtrip": "SELECT doc_id FROM documents WHERE false",
+}

@@ -6,9 +6,10 @@ partially filled windows grows least, a new window being one of the choices; tie
 fuller window. When a lane ends, its partial windows are closed against each other: whole
 windows are merged, the fullest first, each into the tightest that takes it.
 
-Texts are dealt to lanes by a hash of their id; a lane holds about ``LANE`` texts whatever the
+Texts are dealt to lanes by a hash of their id and their place in the table of sizes, so rows that
+repeat one id, or have none, are spread; a lane holds about ``LANE`` texts whatever the
 size of the table, so no task grows with the data, and the partial windows left by a lane are a
-vanishing part of its own. Where the separator stands between texts, a text costs one token
+vanishing part of its own. Ids may be of any type. Where the separator stands between texts, a text costs one token
 more and so does the window's capacity, which counts exactly one separator less than texts.
 
 A text longer than the capacity, and no other, is cut: pieces of the full capacity fill
@@ -98,7 +99,7 @@ def pack_lane(doc_ids: np.ndarray, sizes: np.ndarray, length: int, separator: bo
         "size": np.concatenate([rest[some], np.full(len(alone), length)]),
         "window": np.concatenate([target, n + np.arange(len(alone))]),
     })
-    out = out.sort_values(["window", "doc_id", "piece"], kind="stable", ignore_index=True)
+    out = out.sort_values(["window", "piece"], kind="stable", ignore_index=True)
     taken = out["size"] + extra
     out["offset"] = taken.groupby(out["window"]).cumsum() - taken
     return out
@@ -117,23 +118,24 @@ def fill_windows(docs: DataFrame, packing: DataFrame, id_col: str = "doc_id", te
             raise ValueError(f"packing {r.packing_id}: no sequence length")
         settings.append((r.packing_id, r.sequence_length, bool(r.eos_between_docs)))
     settings.sort(key=lambda s: str(s[0]))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("mr_text"))
-    sizes = stage(rows.select("doc_id", size_column("mr_text", tokenizer, folder).alias("size")), "sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("mr_text"))
+    # The place is written with the size, so it is the same whenever a lane is packed again.
+    sizes = stage(rows.select("doc_id", size_column("mr_text", tokenizer, folder).alias("size"), F.monotonically_increasing_id().alias("place")), "sizes")
     lanes = max(1, -(-sizes.count() // LANE))
-    dealt = sizes.where("size > 0").withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int"))
+    dealt = sizes.where("size > 0").withColumn("mixed", F.xxhash64("doc_id", "place"))
+    dealt = dealt.withColumn("lane", F.pmod("mixed", F.lit(lanes)).cast("int"))
     dealt = dealt.withColumn("setting", F.explode(F.array(*(F.lit(k) for k in range(len(settings))))))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         setting, lane = key
         name, length, separator = settings[setting]
-        order = pd.util.hash_array(part["doc_id"].to_numpy(dtype=np.int64)).argsort(kind="stable")
-        part = part.iloc[order]
+        part = part.sort_values(["mixed", "place"], ignore_index=True)
         out = pack_lane(part["doc_id"].to_numpy(), part["size"].to_numpy(dtype=np.int64), length, separator)
         out.insert(0, "packing_id", name)
         out["window"] = f"{lane}-" + out["window"].astype(str)
         return out
 
-    schema = "packing_id string, doc_id long, piece long, start long, size long, window string, offset long"
+    schema = f"packing_id string, doc_id {docs.schema[id_col].dataType.simpleString()}, piece long, start long, size long, window string, offset long"
     packed = dealt.groupBy("setting", "lane").applyInPandas(pack, schema) if settings else docs.sparkSession.createDataFrame([], schema)
     names = F.array(*(F.lit(s[0]).cast("string") for s in settings)) if settings else F.array().cast("array<string>")
     empty = sizes.where("size = 0 or size is null").select(
