@@ -10,6 +10,7 @@ confusables of Unicode that Spark's own ICU carries, and it takes a word's scrip
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import SparkSession
@@ -32,6 +33,7 @@ _REP = {c: group[0] for group in LOOKALIKES for c in group}
 _MEMBERS = {group[0]: group for group in LOOKALIKES}
 
 
+@functools.lru_cache(maxsize=100_000)
 def script_of(char: str) -> str:
     """latin, cyrillic, greek, other letters, or common for what belongs to every script."""
     if not char.isalpha():

@@ -94,13 +94,18 @@ class LatticeModel:
             if char in used:
                 self.near.setdefault(latin, []).append((char, script_of(char), NEAR))
         self.words: dict[str, tuple] = {}
+        self.options: dict[str, list[tuple[str, str, float]]] = {}
 
     def _score(self, script: str, before: str, char: str) -> float:
         hit = self.seen.get((script, before, char))
         return hit if hit is not None else self.unseen.get((script, before), log(1 / 64))
 
     def _options(self, rep: str) -> list[tuple[str, str, float]]:
-        return [(c, s, 0.0) for c, s in alternatives(rep)] + self.near.get(rep, [])
+        """Letters that ``rep`` may be, with scripts and costs; none if all belong to every script."""
+        out = [(c, s, 0.0) for c, s in alternatives(rep)] + self.near.get(rep, [])
+        out = [] if all(s == "common" for _, s, _ in out) else out
+        self.options[rep] = out
+        return out
 
     def readings(self, word: str) -> tuple[tuple[str, str, float, str], ...]:
         """(first script, last script, score, text) of the best path of each kind; none if the word has no letter.
@@ -109,9 +114,10 @@ class LatticeModel:
         """
         paths: dict[tuple[str, str], tuple[float, str, str]] = {}  # score, text, last letter
         head = ""
+        known = self.options
         for rep in word:
-            options = self._options(rep)
-            if all(s == "common" for _, s, _ in options):
+            options = known[rep] if rep in known else self._options(rep)
+            if not options:
                 if paths:
                     paths = {k: (v, t + rep, last) for k, (v, t, last) in paths.items()}
                 else:
