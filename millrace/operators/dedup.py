@@ -205,6 +205,15 @@ def report(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def report_lists(statuses: DataFrame) -> DataFrame:
+    """``(status, pos, id)``: each status's ids in their order, as rows with their places, so a list may have any length."""
+    from .classify import ranked
+
+    placed = ranked(statuses.select("status", "id", F.struct("status", "id").alias("mr_key")), "mr_key").drop("mr_key")
+    first = placed.groupBy("status").agg(F.min("rank").alias("first"))
+    return placed.join(F.broadcast(first), "status").select("status", (F.col("rank") - F.col("first")).alias("pos"), "id")
+
+
 def select_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept.select("id").distinct(), "id", "left_semi")
 

@@ -62,6 +62,14 @@ def verify(events: DataFrame, first_seq: int = 0) -> DataFrame:
     return rows.select("chain", "seq", fault.alias("fault")).where("fault is not null")
 
 
+def event(chain: str, seq: int, prev: str, timestamp: str, event_type: str, payload: str) -> tuple:
+    """An event after the one with the hash ``prev``, with the columns of ``COLUMNS``."""
+    payload = canonical(payload)
+    digest = hashlib.sha256(payload.encode()).hexdigest()
+    h = hashlib.sha256(f"{seq}|{prev}|{digest}|{timestamp}|{event_type}".encode()).hexdigest()
+    return chain, seq, prev, h, timestamp, event_type, payload, digest
+
+
 def append(records: DataFrame, first_seq: int = 0) -> DataFrame:
     """Chains ``(chain, pos, timestamp, event_type, payload)`` into events; each hash needs the one before it.
 
@@ -69,27 +77,28 @@ def append(records: DataFrame, first_seq: int = 0) -> DataFrame:
     """
 
     def link(state, r):
-        seq, prev = state
-        payload = canonical(r.payload)
-        digest = hashlib.sha256(payload.encode()).hexdigest()
-        h = hashlib.sha256(f"{seq}|{prev}|{digest}|{r.timestamp}|{r.event_type}".encode()).hexdigest()
-        return (seq + 1, h), [(r.chain, seq, prev, h, r.timestamp, r.event_type, payload, digest)]
+        made = event(r.chain, *state, r.timestamp, r.event_type, r.payload)
+        return (made[1] + 1, made[3]), [made]
 
     rows = records.select("chain", "pos", "timestamp", "event_type", "payload")
     return fold(rows, "chain", "pos", COLUMNS, lambda key: (first_seq, GENESIS), link)
 
 
-def read_jsonl(spark, path: str) -> DataFrame:
-    """Events of ``chain=<name>`` folders or plain files; a torn last line of a file is left out, a broken one before it raises."""
+def read_jsonl(spark, path: str, schema: str | None = None) -> DataFrame:
+    """Events of ``chain=<name>`` folders or plain files; a torn last line of a file is left out, a broken one before it raises.
+
+    Without a ``schema``, which has the chain in each line, a file is a chain.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    schema = "seq long, prev_hash string, hash string, timestamp string, event_type string, payload string, payload_hash string"
+    own = schema is not None
+    schema = schema or "seq long, prev_hash string, hash string, timestamp string, event_type string, payload string, payload_hash string"
     parsed = lines.withColumn("e", F.from_json("value", schema)).withColumn("sound", F.col("e.seq").isNotNull() & F.col("e.hash").isNotNull() & F.try_parse_json("value").isNotNull())
     last = lines.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last"))
     both = parsed.join(F.broadcast(last), "file")
     torn = ~F.col("sound") & (F.struct("block", "at") == F.col("last"))
     # One condition, so that no part of it is worked out before the last line is known.
     kept = F.when(torn | (F.col("value") == ""), F.lit(False)).when(F.col("sound"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("broken line in "), "file")).cast("boolean"))
-    return both.where(kept).select(F.col("file").alias("chain"), "e.*")
+    return both.where(kept).select("e.*") if own else both.where(kept).select(F.col("file").alias("chain"), "e.*")
 
 
 def write_jsonl(events: DataFrame, path: str) -> None:

@@ -135,6 +135,16 @@ class LoaderState:
     tokens_consumed: int = 0
     data_mix_hash: str = ""
 
+    def to_json(self) -> str:
+        return json.dumps({"schema_id": "loader_state", "schema_version": 1, **asdict(self)})
+
+    @classmethod
+    def from_json(cls, text: str) -> LoaderState:
+        value = json.loads(text)
+        if not isinstance(value, dict) or value.pop("schema_id", None) != "loader_state" or value.pop("schema_version", None) != 1:
+            raise ValueError("not a state of version 1")
+        return cls(**value)
+
 
 def next_batch(sequences: DataFrame, packing: Packing, state: LoaderState, size: int) -> tuple[DataFrame, LoaderState]:
     """``(i, epoch, pos, seq, tokens, mask)`` and the state after it.

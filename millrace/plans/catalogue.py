@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, logs, training
+from . import corpus, logs, storage, training
 
 flagship = corpus.flagship
-QUERIES = {**corpus.QUERIES, **logs.QUERIES, **training.QUERIES}
-SQL = {**corpus.SQL, **logs.SQL, **training.SQL}
+QUERIES = {**corpus.QUERIES, **logs.QUERIES, **training.QUERIES, **storage.QUERIES}
+SQL = {**corpus.SQL, **logs.SQL, **training.SQL, **storage.SQL}

@@ -213,31 +213,42 @@ _PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f
 _PDF_ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _pdf_string(token: bytes) -> str:
+def _pdf_bytes(token: bytes) -> bytes:
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        octal = lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else _PDF_ESCAPE.get(m.group(1), b"" if m.group(1) in (b"\n", b"\r") else m.group(1))
-        raw = re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.S)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    octal = lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else _PDF_ESCAPE.get(m.group(1), b"" if m.group(1) in (b"\n", b"\r") else m.group(1))
+    return re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.S)
+
+
+def _pdf_string(token: bytes, font: dict[bytes, str] | None) -> str:
+    raw = _pdf_bytes(token)
+    if font:
+        width = len(next(iter(font)))
+        return "".join(font.get(raw[k : k + width], "") for k in range(0, len(raw), width))
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace")
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         return raw.decode("latin-1")
 
 
-def _pdf_stream(content: bytes) -> str:
+def _pdf_stream(content: bytes, fonts: dict[bytes, dict[bytes, str]]) -> str:
     """Shown strings of one page; a text move begins a line."""
     out: list[str] = []
     operands: list[bytes] = []
+    font = None
     for token in _PDF_TOKEN.findall(content):
         strings = [t for t in operands if t[:1] in (b"(", b"<")]
-        if token in (b"Tj", b"'") and strings:
-            out.append(_pdf_string(strings[0]))
+        if token == b"Tf":
+            font = next((fonts.get(t[1:]) for t in operands if t[:1] == b"/"), None)
+        elif token in (b"Tj", b"'") and strings:
+            out.append(_pdf_string(strings[0], font))
         elif token == b'"' and strings:
-            out.append(_pdf_string(strings[-1]))
+            out.append(_pdf_string(strings[-1], font))
         elif token == b"TJ":
-            out += [_pdf_string(s) for s in strings]
+            out += [_pdf_string(s, font) for s in strings]
         elif token in (b"T*", b"Td", b"TD") and out and not out[-1].endswith("\n"):
             out.append("\n")
         if token[:1] in b"(<[]/" or re.fullmatch(rb"[-+.\d]+", token):
@@ -247,24 +258,97 @@ def _pdf_stream(content: bytes) -> str:
     return "".join(out)
 
 
+class _Pdf:
+    """The objects of a file, those inside object streams too, and its pages in the order of the page tree."""
+
+    def __init__(self, content: bytes):
+        self.objects = {int(n): body for n, _, body in _OBJECT.findall(content)}
+        for body in list(self.objects.values()):
+            if re.search(rb"/Type\s*/ObjStm\b", body):
+                inner, first = self.data(body), int(re.search(rb"/First\s+(\d+)", body).group(1))
+                numbers = [int(x) for x in inner[:first].split()]
+                places = numbers[1::2] + [len(inner) - first]
+                for k, number in enumerate(numbers[::2]):
+                    self.objects.setdefault(number, inner[first + places[k] : first + places[k + 1]])
+
+    def data(self, body: bytes) -> bytes:
+        found = _STREAM.search(body)
+        if not found:
+            return b""
+        return zlib.decompressobj().decompress(found.group(1)) if b"/FlateDecode" in body[: found.start()] else found.group(1)
+
+    def follow(self, body: bytes, name: bytes) -> bytes:
+        """The value of a name: what it refers to, or the dictionary or list that stands there."""
+        at = re.search(rb"/" + name + rb"\b\s*", body)
+        if not at:
+            return b""
+        refers = re.match(rb"(\d+)\s+\d+\s+R", body[at.end() :])
+        if refers:
+            return self.objects.get(int(refers.group(1)), b"")
+        depth = 0
+        for mark in re.finditer(rb"<<|>>|\[|\]", body[at.end() :]):
+            depth += 1 if mark.group() in (b"<<", b"[") else -1
+            if depth <= 0:
+                return body[at.end() : at.end() + mark.end()]
+        return body[at.end() :]
+
+    def pages(self) -> list[tuple[bytes, bytes]]:
+        """Each page with its resources, which it may have from the tree above it."""
+        is_page, is_tree = re.compile(rb"/Type\s*/Page\b(?!s)"), re.compile(rb"/Type\s*/Pages\b")
+        kids = {n: [int(k) for k in re.findall(rb"(\d+)\s+\d+\s+R", self.follow(b, b"Kids"))] for n, b in self.objects.items() if is_tree.search(b)}
+        below = {k for ks in kids.values() for k in ks}
+        out, seen, waiting = [], set(), [(n, b"") for n in sorted(set(kids) - below)][::-1]
+        while waiting:
+            n, resources = waiting.pop()
+            body = self.objects.get(n, b"")
+            if n in seen:
+                continue
+            seen.add(n)
+            own = self.follow(body, b"Resources") or resources
+            if n in kids:
+                waiting += [(k, own) for k in reversed(kids[n])]
+            elif is_page.search(body):
+                out.append((body, own))
+        return out or [(b, self.follow(b, b"Resources")) for _, b in sorted(self.objects.items()) if is_page.search(b)]
+
+    def fonts(self, resources: bytes) -> dict[bytes, dict[bytes, str]]:
+        """The characters that the codes of each font stand for, where the font tells."""
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", self.follow(resources, b"Font")):
+            table = self.follow(self.objects.get(int(number), b""), b"ToUnicode")
+            codes = self._codes(self.data(table)) if table else {}
+            if codes:
+                out[name] = codes
+        return out
+
+    @staticmethod
+    def _codes(table: bytes) -> dict[bytes, str]:
+        out, text = {}, lambda x: bytes.fromhex(x.decode()).decode("utf-16-be", "replace")
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+            for code, char in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                out[bytes.fromhex(code.decode())] = text(char)
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+            for low, high, char in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                for k in range(min(int(high, 16) - int(low, 16) + 1, 1 << 16)):
+                    first = text(char)
+                    out[(int(low, 16) + k).to_bytes(len(low) // 2, "big")] = first[:-1] + chr(ord(first[-1]) + k)
+        return out
+
+
 def pdf_text(content: bytes) -> str:
-    """Text of all pages in their order; no page raises. Streams may be plain or deflated."""
-    objects = {int(n): body for n, _, body in _OBJECT.findall(content)}
-    pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-    tree = next((b for b in objects.values() if re.search(rb"/Type\s*/Pages\b", b)), b"")
-    order = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Kids\s*\[(.*?)\]", tree, re.S) or [b"", b""])[1])]
-    if order and all(re.search(rb"/Type\s*/Page\b(?!s)", objects.get(n, b"")) for n in order):
-        pages = [objects[n] for n in order]
+    """Text of all pages in the order of the page tree; no page raises. Streams may be plain or deflated, objects inside streams, fonts with their own codes."""
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", content):
+        raise ValueError("the file is encrypted")
+    file = _Pdf(content)
+    pages = file.pages()
     if not pages:
         raise ValueError("the file has no pages")
     out = []
-    for page in pages:
+    for page, resources in pages:
         found = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
+        fonts = file.fonts(resources)
         for n in re.findall(rb"(\d+)\s+\d+\s+R", found.group(1)) if found else []:
-            stream = _STREAM.search(objects.get(int(n), b""))
-            if stream:
-                raw = stream.group(1)
-                out.append(_pdf_stream(zlib.decompress(raw) if b"/FlateDecode" in objects[int(n)] else raw))
+            out.append(_pdf_stream(file.data(file.objects.get(int(n), b"")), fonts))
     return "\n".join(p for p in out if p)
 
 
@@ -279,7 +363,7 @@ def extract_text(content: bytes | None, kind: str | None) -> tuple[str | None, s
         return None, "empty"
     try:
         return EXTRACTORS[kind](bytes(content)), None
-    except (ValueError, zlib.error):
+    except (ValueError, AttributeError, zlib.error):
         return None, "unparseable"
 
 
@@ -304,9 +388,3 @@ def latex_columns(text: Column) -> Column:
     """The LaTeX extractor as a Column, for texts that are in a table already."""
     return strip_latex_comments(text)
 
-
-def write_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes documents by ``mix_bucket`` and ``shard_id`` and returns the manifest of the shards; its hash doesn't depend on the order of rows."""
-    docs.write.partitionBy("mix_bucket", "shard_id").parquet(folder)
-    rows = docs.sparkSession.read.parquet(folder)
-    return rows.groupBy("mix_bucket", "shard_id").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.bit_xor(F.xxhash64("text")).cast("string"), F.bit_xor(F.xxhash64(F.lit(1), "text")).cast("string")), 256).alias("content_hash"))
