@@ -43,13 +43,17 @@ def exact_documents(docs: DataFrame) -> DataFrame:
 def exact_paragraphs(docs: DataFrame) -> DataFrame:
     """``(id, kept)``: a document is dropped if it shares a paragraph with a kept one before it.
 
-    The order is that of (content_hash, id). Rounds keep every undecided document that is the
+    The order is that of (content_hash, id). Documents that share no paragraph are kept at once and take
+    no further part. Rounds keep every undecided document that is the
     first undecided one on all its paragraphs, then drop those sharing a paragraph with a kept one.
     """
-    rows = docs.where("text is not null").select("id", F.struct("content_hash", "id").alias("rank"), F.array_distinct(text.paragraphs(F.col("text"))).alias("ps"))
+    parts = F.transform(F.array_distinct(text.paragraphs(F.col("text"))), lambda p: F.struct(F.xxhash64(p).alias("a"), F.md5(p).alias("p")))
+    rows = docs.where("text is not null").select("id", F.struct("content_hash", "id").alias("rank"), parts.alias("ps"))
     rows = stage(rows, "paragraphs")
-    left = stage(rows.select("id", "rank", F.explode("ps").alias("p")).select("id", "rank", F.xxhash64("p").alias("a"), F.md5("p").alias("p")), "undecided")
-    kept = rows.where(F.size("ps") == 0).select("id")
+    every = rows.select("id", "rank", F.explode("ps").alias("p")).select("id", "rank", "p.a", "p.p")
+    shared = every.groupBy("a", "p").agg(F.count("*").alias("n")).where("n > 1").select("a", "p")
+    left = stage(every.join(shared, ["a", "p"], "left_semi"), "undecided")
+    kept = rows.select("id").join(left.select("id").distinct(), "id", "left_anti")
     while left.limit(1).count():
         first = left.groupBy("a", "p").agg(F.min("rank").alias("first"))
         judged = left.join(first, ["a", "p"])
