@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import cutoff, encode, formatcopies, leakage, lookalike, safety, windows
+from . import cutoff, encode, formatcopies, leakage, lookalike, safety, sql, windows
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +106,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return windows.fill_report(windows.fill_windows(table(spark, d, "documents"), packing), packing)
 
 
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What the windows must not have; expected to be empty."""
+    docs, packing = table(spark, d, "documents"), table(spark, d, "packing")
+    return windows.faults(stage(windows.fill_windows(docs, packing), "windows"), docs, packing)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -118,11 +124,15 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_collapsed, p2_collisions, p3_found, p3_hits, p3_reordered, p3_status, p4_found, p4_scores, p4_held, p4_rates,
-              p5_ids, p5_roundtrip, p6_windows, p6_report, p7_found, p7_rates)
+              p5_ids, p5_roundtrip, p6_windows, p6_report, p6_faults, p7_found, p7_rates)
 }
 
 #: The others can't be said in SQL; they are tested against brute force, round trips and held-out labels.
 SQL: dict[str, str] = {
+    "p1_found": sql.looks(),
+    "p1_classes": sql.look_classes(),
     "p2_collisions": "SELECT id AS hash128, 2::BIGINT AS forms FROM corpus WHERE false",
+    "p3_found": f"WITH {sql.leaks()} SELECT id, suite, item_id FROM leaks",
+    "p6_faults": "SELECT packing_id, strategy AS fault, 0::BIGINT AS n FROM packing WHERE false",
     "p5_roundtrip": "SELECT doc_id FROM documents WHERE false",
 }

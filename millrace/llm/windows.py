@@ -144,6 +144,26 @@ def fill_windows(docs: DataFrame, packing: DataFrame, id_col: str = "doc_id", te
     return packed.unionByName(empty)
 
 
+def faults(packed: DataFrame, docs: DataFrame, packing: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """``(packing_id, fault, n)`` of what a packing must not have; expected to be empty.
+
+    tokens: texts whose pieces don't hold all their tokens; split: texts in more pieces than their length asks for; overfull: windows
+    over their capacity; loose: a fill below 0.95, where the tokens need 100 windows or more.
+    """
+    settings = F.broadcast(packing.select("packing_id", "sequence_length", F.coalesce("eos_between_docs", F.lit(False)).cast("int").alias("gap")).distinct())
+    size = F.coalesce(size_column(text_col, tokenizer, folder), F.lit(0)).cast("long")
+    sizes = docs.select(F.col(id_col).alias("doc_id"), size.alias("size")).groupBy("doc_id").agg(F.sum("size").alias("want"), F.count("*").alias("copies"), F.max("size").alias("most"))
+    placed = packed.groupBy("packing_id", "doc_id").agg(F.sum("size").alias("have"), F.count("*").alias("pieces")).join(settings, "packing_id")
+    both = placed.join(sizes, placed["doc_id"].eqNullSafe(sizes["doc_id"]))
+    fewest = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("most") / F.col("sequence_length")))
+    fault = F.when(F.col("have") != F.col("want"), "tokens").when((F.col("copies") == 1) & (F.col("pieces") > fewest), "split")
+    texts = both.select("packing_id", fault.alias("fault")).where("fault is not null")
+    filled = packed.where("window is not null").groupBy("packing_id", "window").agg(F.sum("size").alias("have"), F.count("*").alias("n")).join(settings, "packing_id")
+    windows = filled.where(F.col("have") + F.col("gap") * (F.col("n") - 1) > F.col("sequence_length")).select("packing_id", F.lit("overfull").alias("fault"))
+    loose = fill_report(packed, packing).where("fill < 0.95 and least_windows >= 100").select("packing_id", F.lit("loose").alias("fault"))
+    return texts.unionByName(windows).unionByName(loose).groupBy("packing_id", "fault").agg(F.count("*").alias("n"))
+
+
 def fill_report(packed: DataFrame, packing: DataFrame) -> DataFrame:
     """Per packing: windows, tokens, the fill, and the fewest windows that could hold the tokens."""
     used = packed.groupBy("packing_id").agg(F.countDistinct("window").alias("windows"), F.sum("size").alias("tokens"), F.count("offset").alias("pieces"))

@@ -61,5 +61,12 @@ def test_fill_windows(spark):
     assert {(r.packing_id, r.doc_id) for r in rows if r.window is None} == {(p, d) for p in "pq" for d in (2, 3)}
     assert sum(r["size"] for r in rows if r.packing_id == "p") == sum(r["size"] for r in rows if r.packing_id == "q") == 5 + 41 + 2 + 2
     assert windows.fill_windows(docs.limit(0), packing).count() == 0
+    packed = windows.fill_windows(docs, packing)
+    assert windows.faults(packed, docs, packing).count() == 0
+    cut = packed.where("not (doc_id = 1 and packing_id = 'p')").unionByName(packed.where("doc_id = 1 and packing_id = 'p'").selectExpr("packing_id", "doc_id", "piece", "start", "size - 1 as size", "window", "offset"))
+    assert [tuple(r) for r in windows.faults(cut, docs, packing).collect()] == [("p", "tokens", 1)]
+    named = docs.selectExpr("concat('d', doc_id) as doc_id", "text")
+    rows = windows.fill_windows(named, packing).collect()
+    assert {r.doc_id for r in rows} == {"d1", "d2", "d3", "d4", "d5"} and windows.faults(windows.fill_windows(named, packing), named, packing).count() == 0
     with pytest.raises(ValueError):
         windows.fill_windows(docs, packing.selectExpr("packing_id", "0 as sequence_length", "eos_between_docs"))
