@@ -398,10 +398,16 @@ def format_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", extract.detect_format(F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.lit("."), end), media).alias("format"))
 
 
-@register("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 2)")
+_HOSTS = ["arxiv.org", "arxiv.org:443", "arxiv.org.example.com", "u:p@github.com", "example.org/arxiv.org", "example.org?u=pypi.org", "export.arxiv.org", "www.pypi.org"]
+
+
+@register(f"""WITH x AS (SELECT doc_id, ['http', 'https'][length(source) % 2 + 1] || '://' || {_HOSTS!r}[CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 8 + 1] || '/' || doc_id AS url FROM documents WHERE source IS NOT NULL)
+SELECT doc_id FROM x WHERE list_contains({extract.MIRRORS!r}, regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1))""")
 def mirror_host_filter(spark, d):
-    host = F.element_at(F.array(*map(F.lit, ("https://arxiv.org/abs/", "https://example.org/", "http://pypi.org/p/", "not a url "))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").where(extract.from_mirror(F.concat(host, F.col("doc_id").cast("string")))).select("doc_id")
+    """Urls with ports, users, and mirrors in the path or as a part of another host."""
+    pick = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6), 16, 10).cast("int") % 8 + 1
+    url = F.concat(F.when(F.length("source") % 2 == 0, "http").otherwise("https"), F.lit("://"), F.element_at(F.array(*map(F.lit, _HOSTS)), pick), F.lit("/"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").where("source is not null").where(extract.from_mirror(url)).select("doc_id")
 
 
 @register(f"""WITH {q.DOCS}, b AS (SELECT list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS INTEGER) + 4) AS b FROM docs),

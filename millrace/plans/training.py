@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control, grids, rewards, verify
@@ -342,31 +342,44 @@ def math_equivalent(spark, d):
     return _items(spark, d).select(F.col("prompt_id").alias("l_orderkey"), "l_linenumber", "l_partkey", half.alias("half"), verify.math_equivalent(F.concat(q, F.lit(".0")), p).alias("same"))
 
 
-@register(f"WITH {_GRID} SELECT doc_id, doc_id % 2 = 0 AS ok FROM g")
+@register(f"WITH {_GRID} SELECT doc_id, {_SHOW.format('g')} IN ({_turned('flip_v')}, {_SHOW.format('list_transform(g, lambda r: list_transform(r, lambda c: CASE WHEN c < 9 THEN c ELSE 0 END))')}) AS ok FROM g")
 def grid_match(spark, d):
-    other = F.transform("g", lambda r: F.transform(r, lambda c: (c + 1) % 10))
-    guesses = F.when(F.col("doc_id") % 2 == 0, F.array(other, F.col("g"))).otherwise(F.array(other))
-    return _grids(spark, d).select("doc_id", verify.grid_match(F.col("g"), guesses).alias("ok"))
+    """Guesses are the grid upside down and the grid without nines."""
+    without = F.transform("g", lambda r: F.transform(r, lambda c: F.when(c < 9, c).otherwise(0)))
+    return _grids(spark, d).select("doc_id", verify.grid_match(F.col("g"), F.array(grids.symmetry(F.col("g"), "flip_v"), without)).alias("ok"))
 
 
-@register("SELECT doc_id, doc_id % 3 = 0 AS ok FROM documents")
+@register("""WITH x AS (SELECT doc_id, CASE WHEN length(source) % 2 = 0 THEN ' true' ELSE 'id' END AS theorem, [' trivial', 'triv ial', 'fun  x =>' || chr(10) || 'x', 'fun x=> x', 'sorry', ''][CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 6 + 1] AS proof FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, trim(regexp_replace(proof, '\\s+', ' ', 'g')) = CASE trim(theorem) WHEN 'true' THEN 'trivial' ELSE 'fun x => x' END AS ok FROM x""")
 def toy_proofs(spark, d):
-    theorem = F.when(F.col("doc_id") % 2 == 0, " true").otherwise("id")
-    proof = F.when(F.col("doc_id") % 3 != 0, "sorry").when(F.col("doc_id") % 2 == 0, "trivial ").otherwise("fun  x  =>\n x")
-    return table(spark, d, "documents").select("doc_id", verify.toy_proof(theorem, proof).alias("ok"))
+    theorem = F.when(F.length("source") % 2 == 0, " true").otherwise("id")
+    proofs = F.array(*map(F.lit, (" trivial", "triv ial", "fun  x =>\nx", "fun x=> x", "sorry", "")))
+    proof = F.element_at(proofs, F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6), 16, 10).cast("int") % 6 + 1)
+    return table(spark, d, "documents").where("source is not null").select("doc_id", verify.toy_proof(theorem, proof).alias("ok"))
 
 
-@register("""SELECT doc_id, doc_id % 2 = 0 AS ok FROM documents""")
-def task_scores(spark, d):
-    k, good = F.col("doc_id") % 6, F.col("doc_id") % 2 == 0
-    kinds = F.element_at(F.array(*map(F.lit, ("math", "code", "grid", "research", "long_horizon", "rubric"))), (F.floor(F.col("doc_id") / 2) % 6 + 1).cast("int"))
-    gold = F.create_map(*(F.lit(x) for x in ("math", "1/2", "code", "a b", "grid", "[[1,2],[3,4]]", "research", "2.50", "long_horizon", "", "rubric", "")))[kinds]
-    right = F.create_map(*(F.lit(x) for x in ("math", "0.5", "code", " a  b", "grid", "[[[0]],[[1,2],[3,4]]]", "research", "2.5", "long_horizon", "[true,true]", "rubric", "0.7")))[kinds]
-    wrong = F.create_map(*(F.lit(x) for x in ("math", "0.25", "code", "ab", "grid", "[[1]]", "research", "x", "long_horizon", "[true,false]", "rubric", "0.5")))[kinds]
-    return table(spark, d, "documents").select("doc_id", verify.task_score(kinds, gold, F.when(good, right).otherwise(wrong)).alias("ok"), k.alias("k")).drop("k")
+_TASK_KINDS = ["math", "code", "grid", "market", "research", "long_horizon", "rubric"]
 
 
-@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS score FROM documents")
+@register(f"""WITH x AS (SELECT *, {_TASK_KINDS!r}[l_partkey % 7 + 1] AS kind, CAST(l_quantity AS BIGINT) AS q, l_linenumber AS n FROM lineitem)
+SELECT l_orderkey, n AS l_linenumber, l_partkey, CASE kind WHEN 'math' THEN q = 10 * n + 1 WHEN 'code' THEN l_returnflag = (CASE WHEN n % 2 = 0 THEN 'R' ELSE 'N' END) AND l_linestatus = 'O' WHEN 'grid' THEN q % 3 IN (n % 3, 1)
+WHEN 'market' THEN CASE WHEN l_returnflag = 'R' THEN l_discount * 5 > l_tax * 5 ELSE l_discount * 5 < l_tax * 5 END WHEN 'research' THEN q = 7 * n WHEN 'long_horizon' THEN n % 2 = 0 ELSE l_discount * 10 > 0.5 END AS ok FROM x""")
+def task_scores(spark, d):
+    """Answers of every kind made of the columns of a line: halves, flags, small grids, forecasts, numbers, points."""
+    q, n, text = F.col("reward").cast("long"), F.col("l_linenumber"), lambda *xs: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in xs))
+    of = lambda c: c.cast("string")
+    kinds = F.element_at(F.array(*map(F.lit, _TASK_KINDS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    each = {
+        "math": (text(of(q), "/2"), text(of(n * 5), ".5")), "code": (text(F.col("l_returnflag"), " ", F.col("l_linestatus")), text(F.when(n % 2 == 0, " R").otherwise("N"), "  O")),
+        "grid": (text("[[", of(q % 3), "]]"), text("[[[", of(n % 3), "]],[[1]]]")), "market": (F.lit(""), of(F.col("l_discount") * 5)), "research": (text(of(q), ".0"), of(n * 7)),
+        "long_horizon": (F.lit(""), text("[true,", of(n % 2 == 0), "]")), "rubric": (F.lit(""), of(F.col("l_discount") * 10)),
+    }
+    gold, answer = (F.coalesce(*(F.when(kinds == k, pair[side]) for k, pair in each.items())) for side in (0, 1))
+    score = verify.task_score(kinds, gold, answer, F.col("l_tax") * 5, F.col("l_returnflag") == "R")
+    return _items(spark, d).select(F.col("prompt_id").alias("l_orderkey"), "l_linenumber", "l_partkey", score.alias("ok"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN l_discount WHEN 'A' THEN CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END ELSE CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END END::DOUBLE AS score FROM lineitem")
 def verifier_dispatch(spark, d):
-    name = F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("thirds")
-    return table(spark, d, "documents").select("doc_id", verify.dispatch(name, {"exact": F.lit(True), "thirds": F.col("doc_id") % 3 == 0}).alias("score"))
+    cases = {"R": F.col("l_discount"), "A": F.col("l_tax") > 0.04, "N": F.col("reward") < 25}
+    return _items(spark, d).select(F.col("prompt_id").alias("l_orderkey"), "l_linenumber", "l_partkey", verify.dispatch(F.col("l_returnflag"), cases).alias("score"))
