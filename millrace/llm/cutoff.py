@@ -329,9 +329,15 @@ class Counts:
         pair = key("2", b, c)
         some = self.closing.has(pair)
         self._hold(pair[some], kind[some])
-        self._hold(key("3", a[some], b[some], c[some]), kind[some])
-        inside = some & (kind < 2)
-        self._hold(key("5", y[inside], z[inside], a[inside], b[inside], c[inside]), kind[inside])
+        # Longer contexts of closing words, where they close some text themselves.
+        at = np.flatnonzero(some)
+        three = key("3", a[at], b[at], c[at])
+        some = self.closing.has(three)
+        self._hold(three[some], kind[at[some]])
+        at = at[some & (kind[at] < 2)]
+        five = key("5", y[at], z[at], a[at], b[at], c[at])
+        some = self.closing.has(five)
+        self._hold(five[some], kind[at[some]])
         # Words that begin as a closing word does, after the same word; each different pair of words once.
         first = np.where(place == 0, len(names), np.roll(ids, 1))
         pairs, times = np.unique(first[kind < 2] * len(names) + ids[kind < 2], return_counts=True)
@@ -339,9 +345,9 @@ class Counts:
         b, second = np.append(own, _START)[pairs // len(names)], pairs % len(names)
         each = many[second]
         at = np.repeat((np.cumsum(many) - many)[second] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        keys = np.repeat(b, each), flat[at]
-        some = self.closing.has(key("2", *keys))
-        self.longer.append((key("p", *keys)[some], np.repeat(times, each)[some]))
+        begun = key("p", np.repeat(b, each), flat[at])
+        some = self.closing.has(begun)
+        self.longer.append((begun[some], np.repeat(times, each)[some]))
         self.size += int(some.sum())
 
     @property
@@ -491,7 +497,7 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
     texts = stage(different_texts(docs, text_col), "texts")
     ends = stage(_closings(texts), "closings")
     undecided = ends.where(F.col("verdict").isin(*_UNDECIDED))
-    closing = Filter(undecided.select(F.explode(F.transform(F.filter("keys", lambda x: x["kind"].isin("2", "1")), lambda x: x["k"]))))
+    closing = Filter(undecided.select(F.explode(F.transform("keys", lambda x: x["k"]))))
     asked = undecided.select("h", F.explode("buckets").alias("key"))
     whole = stage(_read_whole(texts, closing, Filter(undecided.select(F.explode("bands"))), Filter(asked.select("key"))), "counts")
     counts = whole.where("h is null").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("mid", "term", "fin")))
