@@ -397,12 +397,12 @@ def near_copies(asked: DataFrame, given: DataFrame) -> DataFrame:
     ``asked`` and ``given`` are ``(h, key)``, the buckets of open-ended texts and of all texts. Buckets are
     joined in blocks, so that a step of the join holds about ``BLOCK`` texts of either side whatever the size of the bucket.
     """
-    sides = asked.select("key", F.lit(1).alias("o"), F.lit(0).alias("m")).unionByName(given.select("key", F.lit(0).alias("o"), F.lit(1).alias("m")))
-    blocks = lambda x: F.ceil(F.sum(x) / BLOCK)
-    sizes = sides.groupBy("key").agg(blocks("o").alias("os"), blocks("m").alias("ms")).where("os > 0 and ms > 0")
+    blocks = F.ceil(F.count("*") / BLOCK)
+    asked = asked.join(given.groupBy("key").agg(blocks.alias("ms")), "key")
+    sizes = asked.groupBy("key", "ms").agg(blocks.alias("os"))
     own = lambda parts: F.pmod(F.xxhash64("h"), F.col(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    ours = asked.join(sizes, "key").select("key", "h", own("os").alias("i"), every("ms").alias("j"))
+    ours = asked.drop("ms").join(sizes, "key").select("key", "h", own("os").alias("i"), every("ms").alias("j"))
     others = given.join(sizes, "key").select("key", F.col("h").alias("copy"), every("os").alias("i"), own("ms").alias("j"))
     return ours.join(others, ["key", "i", "j"]).where("h <> copy").select("h", "copy").distinct()
 
@@ -501,7 +501,9 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
     asked = undecided.select("h", F.explode("buckets").alias("key"))
     whole = stage(_read_whole(texts, closing, Filter(undecided.select(F.explode("bands"))), Filter(asked.select("key"))), "counts")
     counts = whole.where("h is null").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("mid", "term", "fin")))
-    links = near_copies(asked, whole.where("h is not null").select("h", F.col("k").alias("key")))
+    # A table of its own, so that the plan knows its size; usually few buckets are shared.
+    given = stage(whole.where("h is not null").select("h", F.col("k").alias("key")), "given")
+    links = near_copies(asked, given)
     pairs = links.join(texts, "h").join(texts.select(F.col("h").alias("copy"), F.col("text").alias("other")), "copy")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
