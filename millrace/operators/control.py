@@ -52,6 +52,25 @@ def run_steps(budget: Column, per_step: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.least(per_step, budget - k * per_step))).otherwise(F.array().cast("array<bigint>"))
 
 
+def resume_fault(checkpoint: Column, config: Column) -> Column:
+    """Why a run can't go on from a checkpoint, both structs; null if it can.
+
+    The tokenizer must be the same, then seed, budget, tokens of a step and rung, and no more tokens seen than the budget.
+    """
+    same = lambda name: checkpoint[name].eqNullSafe(config[name])
+    return (
+        F.when(~same("tokenizer_hash"), "tokenizer_changed")
+        .when(~(same("seed") & same("token_budget") & same("tokens_per_step") & same("rung")), "checkpoint_mismatch")
+        .when(checkpoint["tokens_seen"] > config["token_budget"], "resume_past_budget")
+    )
+
+
+def config_hash(suite: Column, split: Column, checkpoint_id: Column, harness_version: Column, n_items: Column, seed: Column) -> Column:
+    """SHA-256 over the settings of an evaluation, a line for each."""
+    lines = [c.cast("string") for c in (suite, split, checkpoint_id, harness_version, n_items, seed)]
+    return F.sha2(F.concat(*(x for c in lines for x in (c, F.lit("\n")))), 256)
+
+
 def suite_kind(suite: Column, held_out: list[str], public: list[str]) -> Column:
     return F.when(suite.isin(held_out), "held_out").when(suite.isin(public), "public").otherwise("unknown")
 

@@ -130,7 +130,7 @@ def task_log_score(guess: Column, market: Column, outcome: Column) -> Column:
 
     def at(p: Column) -> Column:
         held = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p))
-        return F.ln(F.when(outcome, held).otherwise(1 - held))
+        return F.when(p.isNotNull(), F.ln(F.when(outcome, held).otherwise(1 - held)))
 
     return at(guess.try_cast("double")) - at(market)
 

@@ -258,6 +258,35 @@ def hash_scores(spark, d):
     return classify.score_with(docs(spark, d), classify.hash_scorer(7))
 
 
+@register(f"""WITH {q.DOCS}, x AS (SELECT doc_id, list_reduce(list_prepend({hashing.FNV_OFFSET}::UHUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS UHUGEINT))), lambda a, b: (xor(a, b) * {hashing.FNV_PRIME}) % {q.U64}) AS h FROM docs)
+SELECT doc_id, printf('%016x', CAST(h AS UBIGINT)) AS h FROM x""")
+def fnv_hashes(spark, d):
+    return docs(spark, d).select("doc_id", hashing.fnv1a64_hex("text").alias("h"))
+
+
+@register(f"""WITH {q.DOCS}, x AS (SELECT content_hash, list_reduce(list_prepend({hashing.FNV_OFFSET}::UHUGEINT, list_transform(regexp_extract_all(hex(encode(CAST(length(text) AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS UHUGEINT))), lambda a, b: (xor(a, b) * {hashing.FNV_PRIME}) % {q.U64}) AS h FROM docs)
+SELECT content_hash, CAST({_unit(classify.QUALITY_TAG)} AS FLOAT) AS quality, CAST({_unit(classify.SAFETY_TAG)} AS FLOAT) AS safety FROM x""")
+def served_scores(spark, d):
+    """Scores of the completions of a server, here the lengths of the texts."""
+    return classify.score_with(docs(spark, d), classify.served_scorer(lambda texts: [str(len(t)) for t in texts], 7))
+
+
+@register(f"""WITH p AS (SELECT content_hash, max(quality) AS q, max(safety) AS s FROM prediction GROUP BY content_hash), {_LABELS},
+m AS (SELECT coalesce(q >= 0.5::FLOAT, false) = keep_quality AND coalesce(s >= 0.5::FLOAT, false) = keep_safety AS ok FROM l JOIN p USING (content_hash)),
+a AS (SELECT round(sum(CAST(ok AS BIGINT)) / count(*), 6) AS agreement FROM m) SELECT minimum, coalesce(agreement >= minimum, false) AS passed FROM a, (VALUES (0.1::DOUBLE), (0.5), (1.0)) AS v(minimum)""")
+def label_gate(spark, d):
+    """Which minima of agreement the predictions pass."""
+    labels, predictions = _labels(spark, d), table(spark, d, "prediction")
+    labels, out = labels.join(predictions, "content_hash", "left_semi"), []
+    for minimum in (0.1, 0.5, 1.0):
+        try:
+            classify.gate(labels, predictions, minimum)
+            out.append((minimum, True))
+        except ValueError:
+            out.append((minimum, False))
+    return spark.createDataFrame(out, "minimum double, passed boolean")
+
+
 _TOK = f"t AS (SELECT doc_id, list_transform({q.words('n')}, lambda w: length(w)) AS t FROM (SELECT doc_id, {q.normalize('text')} AS n FROM docs))"
 
 
@@ -350,6 +379,11 @@ def mixture_ablations(spark, d):
     return mixture.weights_table(spark, *BASE_MIX.ablations()).withColumn("weight", F.round("weight", 9))
 
 
+@register(f"""WITH {_BASE} SELECT mix_id, sha256('{{"mix_id":"' || mix_id || '","mix_bucket":"pretrain-r0","phase":"pretrain","weights":{{' || string_agg('"' || source || '":' || weight, ',' ORDER BY position) || '}}}}') AS mix_hash FROM base GROUP BY mix_id""")
+def mixture_hash(spark, d):
+    return spark.createDataFrame([(BASE_MIX.mix_id, BASE_MIX.hash())], "mix_id string, mix_hash string")
+
+
 @register(f"""WITH {_BASE}, c AS (SELECT source, position, sum(weight) OVER (ORDER BY position) AS upto FROM base),
 u AS (SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents)
 SELECT doc_id, coalesce((SELECT arg_min(source, position) FROM c WHERE u < upto), 'agentic_trajectories') AS source FROM u""")
@@ -417,6 +451,14 @@ def bpe_pair_counts(spark, d):
     return tokenizer.pair_counts(docs(spark, d).select(tokenizer.byte_ids(F.col("text")).alias("ids")))
 
 
+@register(f"""WITH {q.DOCS}, b AS (SELECT list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS INTEGER) + 4) AS b FROM docs),
+p AS (SELECT unnest(list_zip(b[:-2], b[2:])) AS p FROM b WHERE len(b) > 1)
+SELECT CAST(p[1] AS INTEGER) AS "left", CAST(p[2] AS INTEGER) AS "right", count(*) AS n FROM p GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1""")
+def bpe_best_pair(spark, d):
+    best = tokenizer.best_pair(tokenizer.pair_counts(docs(spark, d).select(tokenizer.byte_ids(F.col("text")).alias("ids"))))
+    return spark.createDataFrame([(best.left, best.right, best.n)], "left int, right int, n long")
+
+
 @register()
 def bpe_train_merges(spark, d):
     merges = tokenizer.train(docs(spark, d), tokenizer.FIRST_MERGE + 12)
@@ -526,6 +568,24 @@ def trajectory_outcomes(spark, d):
     return synth.trajectory_outcomes(rows, 3)
 
 
+_TRAIL = SQL["trajectory_outcomes"]
+
+
+@register(f"WITH o AS ({_TRAIL}) SELECT task_id FROM o WHERE outcome = 'Verified'")
+def trajectories_kept(spark, d):
+    return synth.keep_verified(trajectory_outcomes(spark, d)).select("task_id")
+
+
+@register(f"WITH o AS ({_TRAIL}) SELECT round(avg(CASE WHEN outcome = 'Verified' THEN 1.0 ELSE 0.0 END), 9) AS rate FROM o")
+def outcome_rate(spark, d):
+    return synth.outcome_rate(trajectory_outcomes(spark, d)).select(F.round("rate", 9).alias("rate"))
+
+
+@register(f"WITH {q.DOCS} SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[0-9A-Za-z]+'), lambda x: lower(x)), ' ')) AS h FROM docs")
+def ledger_tokens(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(F.array_join(text.ascii_tokens(F.col("text")), " ")).alias("h"))
+
+
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))"
 
 

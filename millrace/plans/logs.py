@@ -375,3 +375,29 @@ def put_blobs(spark, d):
 @register("SELECT sha256(p_name) AS digest, p_size > 10 AS sound FROM part")
 def verify_blobs(spark, d):
     return control.verify_blobs(table(spark, d, "part").select(F.sha2("p_name", 256).alias("digest"), F.encode(F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(F.lit("?")), "UTF-8").alias("content")))
+
+
+@register(f"WITH {_LEDGER} SELECT * FROM (SELECT experiment_id, hypothesis, author_role FROM ledger ORDER BY rowid DESC LIMIT 1)")
+def ledger_lookup(spark, d):
+    """The record with the id of the last order, by its id."""
+    rows = _ledger(spark, d)
+    wanted = rows.agg(F.max_by("experiment_id", "rowid").alias("id")).first().id
+    found = ledger.get(rows, wanted)
+    return spark.createDataFrame([(found.experiment_id, found.hypothesis, found.author_role)], "experiment_id string, hypothesis string, author_role string")
+
+
+@register("SELECT result_id, sha256(suite || chr(10) || split_name || chr(10) || checkpoint_id || chr(10) || '1.0' || chr(10) || n_items || chr(10) || '7' || chr(10)) AS config_hash FROM eval_result")
+def config_hashes(spark, d):
+    rows = table(spark, d, "eval_result")
+    return rows.select("result_id", control.config_hash(F.col("suite"), F.col("split_name"), F.col("checkpoint_id"), F.lit("1.0"), F.col("n_items"), F.lit(7)).alias("config_hash"))
+
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'tokenizer_changed' WHEN NOT (o_orderkey % 3 = o_custkey % 3 AND o_custkey = o_orderkey % 2 + o_custkey) THEN 'checkpoint_mismatch'
+WHEN o_totalprice > 100 * o_custkey THEN 'resume_past_budget' END AS fault FROM orders""")
+def resume_faults(spark, d):
+    """Checkpoints made of orders against settings made of them."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    made = lambda hash, seed, step: F.struct(hash.alias("tokenizer_hash"), seed.alias("seed"), (c * 100).alias("token_budget"), step.alias("tokens_per_step"), F.lit(1).alias("rung"), F.col("o_totalprice").alias("tokens_seen"))
+    checkpoint = made(F.when(F.col("o_orderstatus") == "P", "a").otherwise("b"), k % 3, c)
+    config = made(F.lit("b"), c % 3, k % 2 + c)
+    return table(spark, d, "orders").select("o_orderkey", control.resume_fault(checkpoint, config).alias("fault"))

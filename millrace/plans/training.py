@@ -98,6 +98,14 @@ def forecast_log_score(spark, d):
     return _items(spark, d).select(F.col("prompt_id").alias("l_orderkey"), "l_linenumber", "l_partkey", F.round(score, 6).alias("score"))
 
 
+@register(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 <> 0 THEN round({_log('l_discount')} - {_log('l_quantity / 50.0')}, 6) END AS score FROM lineitem""")
+def task_log_scores(spark, d):
+    """Forecasts that come as texts; every fifth line's is no number."""
+    guess = F.when(F.col("l_linenumber") % 5 == 0, "half").otherwise(F.col("l_discount").cast("string"))
+    score = verify.task_log_score(guess, F.col("reward") / 50.0, F.col("l_returnflag") == "R")
+    return _items(spark, d).select(F.col("prompt_id").alias("l_orderkey"), "l_linenumber", "l_partkey", F.round(score, 6).alias("score"))
+
+
 def _lists(spark, d):
     lp = lambda *xs: F.array(*(F.col(x).cast("double") for x in xs))
     return _items(spark, d).select("prompt_id", F.round(F.col("reward") / 10).alias("reward"), lp("l_discount", "l_tax").alias("logp_new"), lp("l_tax", "l_discount").alias("logp_old"), lp("l_discount", "l_discount").alias("logp_trainer"), lp("l_tax", "l_tax").alias("logp_rollout"),
@@ -258,6 +266,9 @@ _AT = {  # row r, column c of the result
     "flip_h": (3, 4, "g[r][5 - c]"), "flip_v": (3, 4, "g[4 - r][c]"), "transpose": (4, 3, "g[c][r]"), "anti_transpose": (4, 3, "g[4 - c][5 - r]")}
 
 
+_AUGMENT = "list_transform(list_transform(range(1, 5), lambda r: list_transform(range(1, 4), lambda c: g[4 - c][5 - r])), lambda r: list_transform(r, lambda c: (c * 3 + 1) % 10))"
+
+
 def _turned(name: str) -> str:
     h, w, cell = _AT[name]
     return _SHOW.format(f"list_transform(range(1, {h + 1}), lambda r: list_transform(range(1, {w + 1}), lambda c: {cell}))")
@@ -273,6 +284,14 @@ def grid_recolor(spark, d):
     return _grids(spark, d).select("doc_id", _shown(grids.recolor(F.col("g"), [(c * 3 + 1) % 10 for c in range(10)])).alias("g"))
 
 
+@register(f"WITH {_GRID}, a AS (SELECT doc_id, {_AUGMENT} AS g FROM g), b AS (SELECT doc_id, list_transform(list_transform(range(1, 5), lambda r: list_transform(range(1, 4), lambda c: g[4 - c][r])), lambda r: list_transform(r, lambda c: (c * 3 + 1) % 10)) AS g FROM g) SELECT doc_id, {_SHOW.format('b.g')} AS input, {_SHOW.format('a.g')} AS output FROM a JOIN b USING (doc_id)")
+def grid_augment(spark, d):
+    """A grid and its mirror image, both turned and recolored alike."""
+    pair = F.array(F.struct(F.col("g").alias("input"), grids.symmetry(F.col("g"), "flip_h").alias("output")))
+    rows = _grids(spark, d).select("doc_id", grids.augment(pair, "rot90", [(c * 3 + 1) % 10 for c in range(10)])[0].alias("p"))
+    return rows.select("doc_id", _shown(F.col("p.input")).alias("input"), _shown(F.col("p.output")).alias("output"))
+
+
 @register(f"WITH {_GRID} SELECT doc_id, NOT list_contains(flatten(g), 9) AS ok FROM g")
 def grid_validate(spark, d):
     rows = _grids(spark, d).select("doc_id", F.transform("g", lambda r: F.transform(r, lambda c: F.when(c == 9, 10).otherwise(c))).alias("g"))
