@@ -50,7 +50,7 @@ BLOCK = 2_000
 #: Counts a task holds before it adds them up.
 HELD = 3_000_000
 #: Bits of a filter; more open-ended texts only let more pass.
-BITS = 1 << 26
+BITS = 1 << 25
 
 # Signs put after a cut.
 _INVITES = ("read more", "see more", "weiterlesen", "lire la suite", "leer más")
