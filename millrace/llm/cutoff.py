@@ -501,9 +501,9 @@ def cut_texts(docs: DataFrame, text_col: str) -> DataFrame:
     asked = undecided.select("h", F.explode("buckets").alias("key"))
     whole = stage(_read_whole(texts, closing, Filter(undecided.select(F.explode("bands"))), Filter(asked.select("key"))), "counts")
     counts = whole.where("h is null").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("mid", "term", "fin")))
-    # A table of its own, so that the plan knows its size; usually few buckets are shared.
+    # Tables of their own, so that the plan knows their sizes: where few buckets are shared, texts aren't shuffled.
     given = stage(whole.where("h is not null").select("h", F.col("k").alias("key")), "given")
-    links = near_copies(asked, given)
+    links = stage(near_copies(asked, given), "links")
     pairs = links.join(texts, "h").join(texts.select(F.col("h").alias("copy"), F.col("text").alias("other")), "copy")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
