@@ -39,7 +39,7 @@ RUN, SEED = 12, 5
 #: Share of an item's words under tiles from which a passage in another order is reported.
 COVERED = 0.8
 #: Bits of the seed filter and probes for each seed; more items only let more records pass.
-BITS, PROBES = 1 << 27, 3
+BITS, PROBES = 1 << 25, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD = re.compile(r"[^\W_]+")
@@ -58,20 +58,23 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_MARKS.sub("", skeleton(text)).lower())
 
 
-_HASHES: dict[str, int] = {}
+class _Hashes(dict):
+    """A word to its 64-bit hash; a cache only."""
+
+    def __missing__(self, word: str) -> int:
+        out = xxhash.xxh64_intdigest(word)
+        if len(self) < 1_000_000:
+            self[word] = out
+        return out
+
+
+_HASHES = _Hashes()
 
 
 def token_hashes(text: str) -> np.ndarray:
     """The 64-bit hashes of the text's words."""
-    out = []
-    for w in words(text):
-        h = _HASHES.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(_HASHES) < 1_000_000:  # a cache only
-                _HASHES[w] = h
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    found = words(text)
+    return np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -173,7 +176,8 @@ class SeedFilter:
         return seeds
 
     def seeds_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.unique(np.concatenate([self.passing(rolling(ids, w)) for w in self.widths]))
+        passed = [x for x in (self.passing(rolling(ids, w)) for w in self.widths) if len(x)]
+        return np.unique(np.concatenate(passed)) if passed else ids[:0]
 
 
 def seed_filter(tokens: DataFrame) -> SeedFilter:
