@@ -362,8 +362,10 @@ def held_against(scores: DataFrame, predictions: DataFrame, labels: DataFrame, c
     votes = votes.groupBy("h").agg(F.avg(F.col("keep_safety").cast("double")).alias("keep")).where("keep <> 0.5")
     rows = scores.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg((1 - F.max("unsafe")).alias("own"))
     rows = rows.join(earlier, "h", "left").join(votes, "h", "left").withColumn("keep", F.col("keep") > 0.5)
-    limits = configs.where("safety_threshold is not null").select("config_id", F.col("safety_threshold").cast("double").alias("threshold")).distinct()
-    each = rows.crossJoin(F.broadcast(limits))  # a handful of settings
+    # The settings are a table that the driver reads, like those of a packing.
+    limits = sorted((str(r.config_id), r.t) for r in configs.where("safety_threshold is not null").select("config_id", F.col("safety_threshold").cast("double").alias("t")).distinct().collect())
+    settings = F.array(*(F.struct(F.lit(name).alias("config_id"), F.lit(t).alias("threshold")) for name, t in limits)) if limits else F.array().cast("array<struct<config_id: string, threshold: double>>")
+    each = rows.withColumn("setting", F.explode(settings)).select("own", "earlier", "keep", "setting.*")
     kept, before = F.col("own") >= F.col("threshold"), F.col("earlier") >= F.col("threshold")
     return each.groupBy("config_id", F.round("threshold", 6).alias("threshold")).agg(
         F.count("*").alias("n_texts"), F.count_if(kept).alias("kept"), F.count("earlier").alias("n_predicted"), F.count_if(before).alias("predicted_kept"),
