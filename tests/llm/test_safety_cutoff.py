@@ -1,7 +1,9 @@
+import pathlib
 import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import cutoff, safety
 
@@ -145,3 +147,34 @@ def test_counts_are_the_brute_force(spark):
 def test_copies_that_stop_at_the_same_word_decide_nothing():
     words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     assert cutoff.ends_early(words, words + " …") is None and cutoff.ends_early(words, words + ".") is False and cutoff.ends_early(words, words + " on.") is True
+
+
+def test_filters_pass_few_other_keys_however_many_they_hold(spark):
+    for n in (0, 1_000, 5_000_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+        known = cutoff.Filter(keys)
+        held = keys.limit(1_000).toArrow()["key"].to_numpy().view(np.uint64)
+        others = np.random.RandomState(4).randint(0, 1 << 63, 200_000, dtype=np.uint64) * cutoff._Q
+        assert len(held) == min(n, 1_000) and known.has(held).all() and known.has(others).mean() < 0.02
+
+
+def _shuffled(spark):
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x: x.stat().st_size for place in places for x in pathlib.Path(place.getPath()).rglob("shuffle_*.data")}
+
+
+def test_texts_leave_no_shuffle_files(spark):
+    docs, wanted = documents(spark)
+    rnd = random.Random(6)
+    long = [(1_000 + k, " ".join("".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(4_000)) + ".", "s", 1, "a") for k in range(60)]
+    docs = docs.union(spark.createDataFrame(long, docs.schema))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        before = _shuffled(spark)
+        assert {r.doc_id for r in cutoff.cut_documents(docs).collect()} == wanted
+        left = sum(size for x, size in _shuffled(spark).items() if x not in before)
+    finally:
+        spark.conf.set(name, usual)
+    assert left < 0.2 * sum(len(r[1]) for r in long)
